@@ -55,6 +55,8 @@ VIEWS: dict[str, str] = {
  join {embeddings} e on e.vec_id = q.conv_id % q.n_vec""",
     "short_question_v": """select item_id * 1000 question_id, text question,
  """ + SCOPE.replace("{key}", "item_id") + """ from {benchmark}""",
+    "sentence_v": """select item_id * 1000 + pos question_id, trim(s) question,
+ """ + SCOPE.replace("{key}", "pos") + """ from <<sentences:{benchmark}>> where length(trim(s)) > 0""",
     "query_log_v": """select event_id log_id, concat('t', cast(user_id as varchar(20))) trace_id, cast(user_id as varchar(20)) user_id,
  """ + SCOPE.replace("{key}", "user_id") + """,
  case event_type when 'error' then 'error' when 'signup' then 'refused' else 'ok' end verdict, event_type,
@@ -132,8 +134,10 @@ VIEWS: dict[str, str] = {
  from {citation_base} where doc_id % 13 <> 0""",
 }
 
-SPARK_SLOTS = [(r"<<sha:(.*?)>>", r"sha2(\1, 256)"), (r"<<array:(.*?)>>", r"array(\1)")]
-DUCK_SLOTS = [(r"<<sha:(.*?)>>", r"sha256(\1)"), (r"<<array:(.*?)>>", r"[\1]")]
+SPARK_SLOTS = [(r"<<sha:(.*?)>>", r"sha2(\1, 256)"), (r"<<array:(.*?)>>", r"array(\1)"),
+               (r"<<sentences:(.*?)>>", r"(select item_id, pos, s from \1 lateral view posexplode(split(text, '[.]')) x as pos, s)")]
+DUCK_SLOTS = [(r"<<sha:(.*?)>>", r"sha256(\1)"), (r"<<array:(.*?)>>", r"[\1]"),
+              (r"<<sentences:(.*?)>>", r"(select item_id, unnest(range(0, len(l))) pos, unnest(l) s from (select item_id, string_split(text, '.') l from \1))")]
 PLACE = re.compile(r"\{(\w+)\}")
 
 
