@@ -61,6 +61,11 @@ def _from_digits(match: Column, year_only: bool = False) -> Column:
     return F.when(F.size(digits) >= 3, _date(year, F.get(digits, F.lit(1)), F.get(digits, F.lit(2))))
 
 
+def _reader(pattern: int):
+    """Date of a match of the given pattern, as a one-argument function for array transforms."""
+    return lambda match: _from_digits(match, pattern == YEAR_ONLY)
+
+
 def _first_match_date(c: Column, pattern: str) -> Column:
     return _from_digits(F.regexp_extract(c, pattern, 0))
 
@@ -125,7 +130,7 @@ def around(text: Column, match: Column, width: int) -> Column:
 def _dates_in(window: Column, as_of: dt.date) -> Column:
     """All reasonable dates of a short text, in pattern order."""
     per_pattern = [
-        F.transform(F.regexp_extract_all(window, F.lit(f"({p})"), 1), lambda m, y=(i == YEAR_ONLY): _from_digits(m, y))
+        F.transform(F.regexp_extract_all(window, F.lit(f"({p})"), 1), _reader(i))
         for i, p in enumerate(DATE_PATTERNS)
     ]
     return F.filter(F.flatten(F.array(*per_pattern)), lambda d: reasonable(d, as_of))
@@ -144,48 +149,55 @@ def publication_date(text: Column, as_of: dt.date) -> Column:
     """Tier 3: issue or approval dates."""
     found = []
     for p in PUBLICATION_PATTERNS:
-        dates = F.transform(F.regexp_extract_all(text, F.lit(f"({p})"), 1), _from_digits)
+        dates = F.transform(F.regexp_extract_all(text, F.lit(f"({p})"), 1), lambda m: _from_digits(m))
         found.append(F.try_element_at(F.filter(dates, lambda d: reasonable(d, as_of)), F.lit(1)))
     return F.coalesce(*found)
 
 
+def _place(top: Column, read, rank: Column):
+    return lambda m: F.struct(
+        m["at"].alias("at"), rank.alias("rank"), read(m["m"]).alias("d"), around(top, m, 50).rlike(EXCLUDE).alias("excluded"))
+
+
 def first_date(text: Column, as_of: dt.date, head: int = 1000) -> Column:
     """Tier 4: the earliest date near the start of the text that no excluding phrase surrounds."""
     top = F.substring(text, 1, head)
     candidates = []
     for i, p in enumerate(DATE_PATTERNS):
-        rows = F.transform(
-            matches_at(top, p),
-            lambda m, i=i: F.struct(
-                m["at"].alias("at"), F.lit(i).alias("rank"), _from_digits(m["m"], i == YEAR_ONLY).alias("d"),
-                around(top, m, 50).rlike(EXCLUDE).alias("excluded"),
-            ),
-        )
+        read, rank = _reader(i), F.lit(i)
+        rows = F.transform(matches_at(top, p), _place(top, read, rank))
         candidates.append(F.filter(rows, lambda r: reasonable(r["d"], as_of) & ~r["excluded"]))
     return F.array_min(F.concat(*candidates))["d"]
 
 
+def _hit(text: Column, pattern: int):
+    """Date, context and confidence of one match of the given pattern."""
+    read = _reader(pattern)
+
+    def row(m):
+        context = strip(around(text, m, 30))
+        before, n = m["at"] - 1, F.length(text)
+        place = F.when(before < n * 0.1, 0.2).when(before < n * 0.3, 0.1).otherwise(0.0)
+        score = (
+            F.lit(0.8 if pattern == ISSUED else 0.5) + place
+            + F.when(context.rlike(HIGH_CONFIDENCE), 0.1).otherwise(0.0)
+            - F.when(context.rlike(LOW_CONFIDENCE), 0.3).otherwise(0.0)
+        )
+        return F.struct(
+            read(m["m"]).alias("d"), context.alias("context"),
+            F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), score)), 6).alias("confidence"),
+            F.lit(pattern).alias("rank"), m["at"].alias("at"),
+        )
+
+    return row
+
+
 def date_hits(text: Column | str, as_of: dt.date) -> Column:
     """All dates with context and confidence: array<struct<d, context, confidence, rank, at>>."""
     text = col(text)
     hits = []
     for i, p in enumerate(DATE_PATTERNS):
-        def row(m, i=i):
-            context = strip(around(text, m, 30))
-            place = (
-                F.when(m["at"] - 1 < F.length(text) * 0.1, 0.2).when(m["at"] - 1 < F.length(text) * 0.3, 0.1).otherwise(0.0)
-            )
-            score = (
-                F.lit(0.8 if i == ISSUED else 0.5) + place
-                + F.when(context.rlike(HIGH_CONFIDENCE), 0.1).otherwise(0.0)
-                - F.when(context.rlike(LOW_CONFIDENCE), 0.3).otherwise(0.0)
-            )
-            return F.struct(
-                _from_digits(m["m"], i == YEAR_ONLY).alias("d"), context.alias("context"),
-                F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), score)), 6).alias("confidence"),
-                F.lit(i).alias("rank"), m["at"].alias("at"),
-            )
-        hits.append(F.filter(F.transform(matches_at(text, p), row), lambda r: reasonable(r["d"], as_of)))
+        hits.append(F.filter(F.transform(matches_at(text, p), _hit(text, i)), lambda r: reasonable(r["d"], as_of)))
     return F.concat(*hits)
 
 

@@ -85,5 +85,14 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if bounded_count(df, max_rows) <= max_rows else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give CPU-heavy work on a small input at least one partition per core.
+
+    A file of one row group is read by one task. On a large scan this does nothing.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
+
+
 def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
