@@ -222,6 +222,8 @@ def _(v):
     return v("citation_zh_v").select("citation_id", dates.parse_zh_date("content").alias("d"))
 
 
+SIMPLE_PATTERNS = [ZH, ISO, SLASH, DOT, "自" + ZH + "起", "发布日期[：:]" + ISO, "生效日期[：:]" + ISO]
+SIMPLE_SQL = "coalesce(" + ", ".join(f"case when {ymd_sql('{t}', p)} <= date '2026-01-01' then {ymd_sql('{t}', p)} end" for p in SIMPLE_PATTERNS) + ")"
 DATED_URL = "url || case doc_id % 6 when 0 then '/2024/3/1/' when 1 then '/20230715/x' when 2 then '_20221301_' when 3 then '-20210630-' when 4 then '?d=2020-2-9' else '/1999-01-01' end"
 RANGE = "between date '2000-01-01' and date '2036-12-31'"
 

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from regulith.catalog.base import query
-from regulith.catalog.scalar import DOT, ISO, SLASH, ZH, strip_sql, tokens_sql, ymd_sql
+from regulith.catalog.scalar import SIMPLE_SQL, ZH, strip_sql, tokens_sql, ymd_sql
 from regulith.functions.layout import merge_short, page_tables
 from regulith.functions.text import token_estimate
 from regulith.operators.aggregates import chunk_quality
@@ -106,10 +106,7 @@ def _(v):
     return e.effective_date(_dated(v), ASOF).select("doc_id", "effective_date")
 
 
-SIMPLE = [ZH, ISO, SLASH, DOT, "自" + ZH + "起", "发布日期[：:]" + ISO, "生效日期[：:]" + ISO]
-
-
-@query("x8b_effective_date_simple", "select doc_id, <<d:coalesce(" + ", ".join(f"case when {ymd_sql('t', p)} <= date '2026-01-01' then {ymd_sql('t', p)} end" for p in SIMPLE) + ")>> effective_date from (select doc_id, content || ' ' || url t from citation_zh_v)")
+@query("x8b_effective_date_simple", f"select doc_id, <<d:{SIMPLE_SQL.replace('{t}', 't')}>> effective_date from (select doc_id, content || ' ' || url t from citation_zh_v)")
 def _(v):
     return e.effective_date_simple(_dated(v), ASOF).select("doc_id", "effective_date")
 

@@ -57,6 +57,11 @@ VIEWS: dict[str, str] = {
  """ + SCOPE.replace("{key}", "item_id") + """ from {benchmark}""",
     "sentence_v": """select item_id * 1000 + pos question_id, trim(s) question,
  """ + SCOPE.replace("{key}", "pos") + """ from <<sentences:{benchmark}>> where length(trim(s)) > 0""",
+    "result_v": """select q.question_id, q.lang, q.j + 1 "rank", 1 - q.j / 20.0 score, c.citation_id, c.doc_id, c.title, c.url, c.effective_date, c.content, c.province, c.doc_class, c.asset,
+ case when c.doc_id % 17 = 0 then null else c.checksum end checksum, case when c.doc_id % 19 = 0 then 'c1' end superseded_by
+ from (select *, <<explode:12>> j from {question_v}) q join {citation_zh_v} c on c.doc_id = q.conv_id * 3 + q.j""",
+    "search_hit_v": """select q.question_id, q.j + 1 position, p.page_id, p.url, p.html, q.question, q.province, q.doc_class, q.asset
+ from (select *, <<explode:10>> j from {question_v}) q join {pages} p on p.page_id = q.conv_id * 2 + q.j""",
     "query_log_v": """select event_id log_id, concat('t', cast(user_id as varchar(20))) trace_id, cast(user_id as varchar(20)) user_id,
  """ + SCOPE.replace("{key}", "user_id") + """,
  case event_type when 'error' then 'error' when 'signup' then 'refused' else 'ok' end verdict, event_type,
@@ -135,8 +140,11 @@ VIEWS: dict[str, str] = {
 }
 
 SPARK_SLOTS = [(r"<<sha:(.*?)>>", r"sha2(\1, 256)"), (r"<<array:(.*?)>>", r"array(\1)"),
-               (r"<<sentences:(.*?)>>", r"(select item_id, pos, s from \1 lateral view posexplode(split(text, '[.]')) x as pos, s)")]
+               (r"<<explode:(\d+)>>", r"explode(sequence(0, \1 - 1))"), (r'"rank"', "rank"),
+               (r"<<explode:(\d+)>>", r"unnest(range(0, \1))"),
+              (r"<<sentences:(.*?)>>", r"(select item_id, pos, s from \1 lateral view posexplode(split(text, '[.]')) x as pos, s)")]
 DUCK_SLOTS = [(r"<<sha:(.*?)>>", r"sha256(\1)"), (r"<<array:(.*?)>>", r"[\1]"),
+              (r"<<explode:(\d+)>>", r"unnest(range(0, \1))"),
               (r"<<sentences:(.*?)>>", r"(select item_id, unnest(range(0, len(l))) pos, unnest(l) s from (select item_id, string_split(text, '.') l from \1))")]
 PLACE = re.compile(r"\{(\w+)\}")
 
