@@ -36,12 +36,12 @@ def _host_flags(results: DataFrame, allow: DataFrame, placeholders: DataFrame) -
     )
 
 
-def _violation(scope_from: str = "") -> Column:
+def _violation() -> Column:
     """Position of the first violated rule of one citation in ``REASONS``, NULL if it passes."""
     empty = lambda c: F.coalesce(F.length(F.col(c).cast("string")) == 0, F.lit(True))
     rules = [
         (1, empty("checksum")), (2, empty("effective_date")),
-        (3, ~F.col(f"{scope_from}province").isin(vocab.PROVINCES)), (4, ~F.col(f"{scope_from}doc_class").isin(vocab.DOC_CLASSES)),
+        (3, ~F.col("province").isin(vocab.PROVINCES)), (4, ~F.col("doc_class").isin(vocab.DOC_CLASSES)),
         (5, F.col("_placeholder")), (6, (F.length("domain") > 0) & ~F.col("_listed")), (7, F.col("superseded_by").isNotNull()),
     ]
     out = F
@@ -53,12 +53,11 @@ def _violation(scope_from: str = "") -> Column:
 def guardrails(results: DataFrame, queries: DataFrame, allow: DataFrame, placeholders: DataFrame) -> DataFrame:
     """Per question: the first violated policy, or a pass.
 
-    Every citation gets its first violated rule; the smallest position over the question's citations
-    is the rule a sequential check would have met first. Metadata rules are checked citation by
-    citation before any scope rule.
+    Order of a sequential check: metadata citation by citation, then the scope of the question, then
+    each host and supersession rule over all citations. The question's own scope decides rules 3 and 4.
     """
-    flagged = _host_flags(results, allow, placeholders).withColumn("_v", _violation())
-    # The metadata rules (1, 2) run citation by citation: the earliest citation decides between them.
+    rows = results.drop("province", "doc_class").join(queries.select("question_id", "province", "doc_class"), "question_id")
+    flagged = _host_flags(rows, allow, placeholders).withColumn("_v", _violation())
     meta = F.min(F.when(F.col("_v") <= 2, F.struct("rank", "_v")))["_v"]
     worst = flagged.groupBy("question_id").agg(F.count("*").alias("citations"), F.coalesce(meta, F.min("_v")).alias("_v"))
     names = F.array(*[F.lit(r) for r in REASONS])
