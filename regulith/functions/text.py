@@ -14,8 +14,9 @@ WORD = r"[\p{L}\p{N}_]+"
 PUNCTUATION = r"""[，。！？；：“”‘’（）【】《》、.,!?;:"'()\[\]<>]"""
 QUERY_PUNCTUATION = r"[？?！!。.，,；;：:]"
 SENTENCE_END = "[。！？]"
-HALF_WIDTH = "".join(chr(c) for c in range(0x21, 0x7F))
-FULL_WIDTH = "".join(chr(c + 0xFEE0) for c in range(0x21, 0x7F))
+KEPT_MARKS = "，！？；：（）"  # CJK punctuation that later rules look for stays full width
+FULL_WIDTH = "".join(chr(c + 0xFEE0) for c in range(0x21, 0x7F) if chr(c + 0xFEE0) not in KEPT_MARKS)
+HALF_WIDTH = "".join(chr(ord(c) - 0xFEE0) for c in FULL_WIDTH)
 CJK_NUMERALS = "一二三四五六七八九十百千万"
 UNITS = "千瓦|兆瓦|万千瓦|千伏|万伏|千米|公里|米|厘米|毫米|吨|千克|公斤|克|升|毫升|小时|分钟|秒|年|月|日|天"
 
@@ -142,8 +143,8 @@ def language_label(c: Column | str) -> Column:
 def normalize_cjk(c: Column | str) -> Column:
     """White-space, punctuation and width rules for CJK text coming out of layout analysis.
 
-    Blanks around full-width sentence marks go first, then full-width ASCII is
-    folded to half width; look-around closes every gap between CJK characters.
+    Blanks around sentence marks go first, then full-width letters, digits and signs are folded to
+    half width; look-around closes every gap between CJK characters and inside dates.
     """
     c = F.translate(col(c), "\u3000\u00a0", "  ")
     c = F.regexp_replace(c, r"[ \t\r\f\x0B]+", " ")
@@ -151,7 +152,7 @@ def normalize_cjk(c: Column | str) -> Column:
     c = F.regexp_replace(c, r"\s*([。！？；：])\s*", "$1")
     c = F.translate(c, FULL_WIDTH, HALF_WIDTH)
     c = F.regexp_replace(c, r"(?<=[一-龯])\s+(?=[一-龯])", "")
-    c = F.regexp_replace(c, r"(?<=[0-9])\s+(?=[年月日])", "")
+    c = F.regexp_replace(c, r"(?<=[0-9])\s+(?=[年月日])|(?<=[年月])\s+(?=[0-9])", "")
     c = F.regexp_replace(c, rf"第\s*([{CJK_NUMERALS}]+)\s*条", "第$1条")
     c = F.translate(c, "“”‘’", "\"\"''")
     return F.coalesce(strip(c), F.lit(""))

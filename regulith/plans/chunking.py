@@ -34,11 +34,16 @@ def _bind(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def _cut(pattern: str):
+    """Pieces of a text before each match of a zero-width pattern, as a one-argument function."""
+    return lambda text: F.transform(F.split(text, pattern), strip)
+
+
 def split_clauses(paras: Column | str, min_chars: int = MIN_CLAUSE_CHARS) -> Column:
     """Atomic clauses: each marker starts a new clause; clauses below the minimum are left out."""
     parts = col(paras)
     for pattern in CLAUSE_STARTS:
-        parts = F.flatten(F.transform(parts, lambda p, pattern=pattern: F.transform(F.split(p, pattern), strip)))
+        parts = F.flatten(F.transform(parts, _cut(pattern)))
         parts = F.filter(parts, lambda p: F.length(p) > 0)
     return F.filter(parts, lambda p: F.length(p) >= min_chars)
 
