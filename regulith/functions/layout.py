@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from regulith.functions.text import normalize_cjk, strip
-from regulith.session import col
+from regulith.session import bind, col
 
 
 def join_segments(text: Column, segments: Column) -> Column:
@@ -65,17 +65,16 @@ def paragraphs(text: Column | str, pages: Column | str | None, min_len: int = 10
     """Blocks where the layout has them, else blank-line paragraphs, else groups of non-empty lines."""
     text = col(text)
     keep = lambda a: F.filter(F.transform(a, normalize_cjk), lambda p: F.length(p) > min_len)
-    split_on_blank = keep(F.split(text, "\n\n"))
     # Lines are regrouped by marking every white-space-only line as a break.
     lines = F.array_join(F.transform(F.split(text, "\n"), strip), "\n")
     grouped = keep(F.transform(F.split(lines, "\n\n+"), lambda g: F.replace(strip(g), F.lit("\n"), F.lit(" "))))
-    fallback = F.when(F.size(split_on_blank) > 0, split_on_blank).otherwise(grouped)
+    fallback = bind(keep(F.split(text, "\n\n")), lambda found: F.when(F.size(found) > 0, found).otherwise(grouped))
     if pages is None:
         return fallback
     per_page = F.transform(
         col(pages), lambda p: F.transform(p["blocks"], lambda b: join_segments(text, b["layout"]["text_anchor"]["text_segments"])))
-    blocks = keep(F.flatten(F.filter(per_page, lambda p: p.isNotNull())))
-    return F.when(F.size(F.coalesce(blocks, F.array().cast("array<string>"))) > 0, blocks).otherwise(fallback)
+    blocks = F.coalesce(keep(F.flatten(F.filter(per_page, lambda p: p.isNotNull()))), F.array().cast("array<string>"))
+    return bind(blocks, lambda found: F.when(F.size(found) > 0, found).otherwise(fallback))
 
 
 def merge_short(paras: Column | str, min_length: int = 50) -> Column:
@@ -88,5 +87,4 @@ def merge_short(paras: Column | str, min_length: int = 50) -> Column:
             F.struct(s["done"].alias("done"), F.concat(s["cur"], F.lit("\n"), p).alias("cur")),
         ).otherwise(F.struct(F.when(F.length(s["cur"]) > 0, F.concat(s["done"], F.array(s["cur"]))).otherwise(s["done"]).alias("done"), p.alias("cur"))),
     )
-    # Bind the folded state once, so that the fold is not evaluated per field.
-    return F.element_at(F.transform(F.array(state), lambda s: F.when(F.length(s["cur"]) > 0, F.concat(s["done"], F.array(s["cur"]))).otherwise(s["done"])), 1)
+    return bind(state, lambda s: F.when(F.length(s["cur"]) > 0, F.concat(s["done"], F.array(s["cur"]))).otherwise(s["done"]))

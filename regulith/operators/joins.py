@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from regulith.functions.scoring import any_of
 from regulith.functions.text import simple_tokens
-from regulith.session import broadcast_if_small, col
+from regulith.session import broadcast_if_small, col, spread
 from regulith.sources import vocab
 
 
@@ -130,29 +130,27 @@ def contained_in(clauses: DataFrame, docs: DataFrame, clause_id: str, clause_col
     inner shingle is therefore an equality key: documents are looked up by shingle, then verified.
     Clauses too short for a shingle use an inner token, and the few without one are matched by a scan.
     """
+    docs = spread(docs.select(doc_id, text_col))
+
     def probes(df, id_col, text, inner):
         tokens = simple_tokens(F.col(text))
         inner_tokens = F.slice(tokens, 2, F.greatest(F.size(tokens) - 2, F.lit(0))) if inner else tokens
         return df.select(id_col, inner_tokens.alias("_t"))
 
+    shingle = lambda tokens, at: F.xxhash64(F.array_join(F.slice(tokens, at, SHINGLE), " "))
     keyed = probes(clauses, clause_id, clause_col, True).withColumn(
         "_key",
-        F.when(F.size("_t") >= SHINGLE, F.xxhash64(F.array_join(F.slice("_t", 1, SHINGLE), " ")))
-        .when(F.size("_t") > 0, F.xxhash64(F.element_at("_t", 1))),
-    ).withColumn("_n", F.when(F.size("_t") >= SHINGLE, F.lit(SHINGLE)).when(F.size("_t") > 0, F.lit(1)))
-    keys = keyed.filter("_key is not null").select(clause_id, "_key", "_n")
-    wanted = broadcast_if_small(keys.select("_key", "_n").distinct(), 1_000_000)
+        F.when(F.size("_t") >= SHINGLE, shingle("_t", 1)).when(F.size("_t") > 0, F.xxhash64(F.lit(1), F.element_at("_t", 1))),
+    )
+    keys = keyed.filter("_key is not null").select(clause_id, "_key")
+    wanted = broadcast_if_small(keys.select("_key").distinct(), 1_000_000)
     doc_tokens = probes(docs, doc_id, text_col, False)
-    singles = F.transform(F.array_distinct("_t"), lambda t: F.struct(F.xxhash64(t).alias("_key"), F.lit(1).alias("_n")))
+    singles = F.transform(F.array_distinct("_t"), lambda t: F.xxhash64(F.lit(1), t))
     starts = F.sequence(F.lit(1), F.greatest(F.size("_t") - (SHINGLE - 1), F.lit(1)))
-    triples = F.transform(
-        starts, lambda i: F.struct(F.xxhash64(F.array_join(F.slice("_t", i, SHINGLE), " ")).alias("_key"), F.lit(SHINGLE).alias("_n"))
-    )
-    doc_keys = (
-        doc_tokens.select(doc_id, F.explode(F.concat(singles, F.array_distinct(triples))).alias("_s"))
-        .select(doc_id, "_s._key", "_s._n").join(wanted, ["_key", "_n"], "left_semi")
-    )
-    pairs = doc_keys.join(keys, ["_key", "_n"]).select(clause_id, doc_id).distinct()
+    triples = F.transform(starts, lambda i: shingle("_t", i))
+    # The keys are longs, so repeats inside a document fall out by hashing before anything is shuffled.
+    doc_keys = doc_tokens.select(doc_id, F.explode(F.array_distinct(F.concat(singles, triples))).alias("_key")).join(wanted, "_key", "left_semi")
+    pairs = doc_keys.join(keys, "_key").select(clause_id, doc_id).distinct()
     text_of = docs.select(doc_id, F.col(text_col).alias("_text"))
     verified = (
         pairs.join(clauses.select(clause_id, F.col(clause_col).alias("_clause")), clause_id).join(text_of, doc_id)

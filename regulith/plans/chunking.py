@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from regulith.functions.layout import block_confidences, page_tables, paragraphs
 from regulith.functions.text import language_label, stable_id, strip, token_estimate
-from regulith.session import col
+from regulith.session import bind, col, spread
 from regulith.sources import vocab
 
 MAX_TOKENS, OVERLAP_TOKENS, MIN_CLAUSE_CHARS, MIN_CHUNK_TOKENS = 800, 100, 50, 50
@@ -29,11 +29,6 @@ CLAUSES = "array<struct<c:string,t:int>>"
 CHUNKS = "array<struct<clauses:array<string>,tokens:int>>"
 
 
-def _bind(value: Column, use) -> Column:
-    """Evaluate a sub-expression once and use it several times."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def _cut(pattern: str):
     """Pieces of a text before each match of a zero-width pattern, as a one-argument function."""
     return lambda text: F.transform(F.split(text, pattern), strip)
@@ -79,11 +74,11 @@ def pack_clauses(clauses: Column | str, max_tokens: int = MAX_TOKENS, overlap: i
             )
 
         full = (s["tok"] + x["t"] > max_tokens) & (F.size(s["cur"]) > 0)
-        return F.when(full, _bind(tail(s["cur"]), reopened)).otherwise(
+        return F.when(full, bind(tail(s["cur"]), reopened)).otherwise(
             state(s["done"], F.concat(s["cur"], F.array(x)), s["tok"] + x["t"]))
 
     final = F.aggregate(measured, state(no_chunks, no_clauses, F.lit(0)), step)
-    return _bind(final, lambda s: F.when(F.size(s["cur"]) > 0, F.concat(s["done"], F.array(close(s)))).otherwise(s["done"]))
+    return bind(final, lambda s: F.when(F.size(s["cur"]) > 0, F.concat(s["done"], F.array(close(s)))).otherwise(s["done"]))
 
 
 def merge_short_chunks(chunks: Column | str, min_tokens: int = MIN_CHUNK_TOKENS, max_tokens: int = MAX_TOKENS) -> Column:
@@ -101,7 +96,7 @@ def merge_short_chunks(chunks: Column | str, min_tokens: int = MIN_CHUNK_TOKENS,
         )
 
     final = F.aggregate(col(chunks), state(F.array().cast(CHUNKS), none), step)
-    return _bind(final, lambda s: F.when(s["held"].isNull(), s["out"]).otherwise(F.concat(s["out"], F.array(s["held"]))))
+    return bind(final, lambda s: F.when(s["held"].isNull(), s["out"]).otherwise(F.concat(s["out"], F.array(s["held"]))))
 
 
 def clause_type(c: Column | str) -> Column:
@@ -115,7 +110,7 @@ def clause_type(c: Column | str) -> Column:
 def chunk_document(docs: DataFrame, max_tokens: int = MAX_TOKENS, overlap: int = OVERLAP_TOKENS,
                    min_clause: int = MIN_CLAUSE_CHARS, min_chunk: int = MIN_CHUNK_TOKENS) -> DataFrame:
     """(doc_id, paragraphs) -> one row per chunk with id, content, tokens, type and place."""
-    packed = docs.select(
+    packed = spread(docs).select(
         "doc_id", F.array_join("paragraphs", "\n").alias("_full"),
         merge_short_chunks(pack_clauses(split_clauses("paragraphs", min_clause), max_tokens, overlap), min_chunk, max_tokens).alias("_chunks"),
     )
@@ -148,7 +143,7 @@ def chunk_text(docs: DataFrame, max_tokens: int = MAX_TOKENS, overlap_chars: int
         return F.when(full, state(closed, restarted, token_estimate(restarted, "chars"))).otherwise(state(s["done"], joined, s["tok"] + x["t"]))
 
     final = F.aggregate(units, state(no_chunks, F.lit(""), F.lit(0)), step)
-    chunks = _bind(final, lambda s: F.when(
+    chunks = bind(final, lambda s: F.when(
         F.length(strip(s["cur"])) > 0, F.concat(s["done"], F.array(F.struct(s["cur"].alias("text"), s["tok"].alias("tokens"))))).otherwise(s["done"]))
     lengths = F.transform("_k", lambda k: F.length(strip(k["text"])))
     starts = F.aggregate(lengths, F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))

@@ -54,14 +54,40 @@ def _pairs(index: list[tuple[str, str]]) -> Column:
     return F.from_json(F.lit(rows), "array<struct<word:string,code:string>>")
 
 
-def entity_codes(text_lower: Column, level: dict[str, list[str]]) -> Column:
-    hits = F.filter(_pairs(list(keyword_index(level).items())), lambda k: F.contains(text_lower, k["word"]))
+def _kind(word: str) -> str:
+    """Which part of a text can contain the keyword."""
+    return "_ascii" if word.isascii() else ("_wide" if not any(ch.isascii() for ch in word) else "_t")
+
+
+def with_parts(docs: DataFrame, text_lower: str = "_t") -> DataFrame:
+    """The ASCII runs and the other runs of a text apart, each run ended by a mark no keyword holds.
+
+    A keyword of one kind can only lie inside a run of its kind, so it is searched in the shorter part.
+    """
+    t = F.col(text_lower)
+    return docs.withColumns({"_ascii": F.regexp_replace(t, r"[^\x00-\x7f]+", "\u0001"), "_wide": F.regexp_replace(t, r"[\x00-\x7f]+", "\u0001")})
+
+
+def entity_codes(level: dict[str, list[str]]) -> Column:
+    """Codes of a level found in the parts of a text, in keyword order."""
+    index = list(keyword_index(level).items())
+    found = []
+    for part in ("_ascii", "_wide", "_t"):
+        words = [{"i": i, "word": w, "code": c} for i, (w, c) in enumerate(index) if _kind(w) == part]
+        if words:
+            rows = F.from_json(F.lit(json.dumps(words, ensure_ascii=False)), "array<struct<i:int,word:string,code:string>>")
+            found.append(_search(rows, part))
+    hits = F.array_sort(F.concat(*found)) if len(found) > 1 else found[0]
     return F.array_distinct(F.transform(hits, lambda k: k["code"]))
 
 
+def _search(rows: Column, part: str) -> Column:
+    return F.filter(rows, lambda k: F.contains(F.col(part), k["word"]))
+
+
 def entities(docs: DataFrame, kb: Vocabulary = Vocabulary(), text_col: str = "content") -> DataFrame:
-    lowered = docs.withColumn("_t", F.lower(F.col(text_col)))
-    return lowered.withColumns({name: entity_codes(F.col("_t"), kb.levels[name]) for name in LEVEL_COLUMNS}).drop("_t")
+    parts = with_parts(spread(docs).withColumn("_t", F.lower(F.col(text_col))))
+    return parts.withColumns({name: entity_codes(kb.levels[name]) for name in LEVEL_COLUMNS}).drop("_t", "_ascii", "_wide")
 
 
 def jurisdiction_of(found: Column, text: Column | str, kb: Vocabulary = Vocabulary()) -> Column:
@@ -76,8 +102,8 @@ def jurisdiction_of(found: Column, text: Column | str, kb: Vocabulary = Vocabula
 
 
 def jurisdiction(docs: DataFrame, kb: Vocabulary = Vocabulary(), text_col: str = "content") -> DataFrame:
-    found = entity_codes(F.lower(F.col(text_col)), kb.levels["jurisdictions"])
-    return docs.withColumn("jurisdiction", jurisdiction_of(found, text_col, kb))
+    parts = with_parts(docs.withColumn("_t", F.lower(F.col(text_col)))).withColumn("_found", entity_codes(kb.levels["jurisdictions"]))
+    return parts.withColumn("jurisdiction", jurisdiction_of(F.col("_found"), "_t", kb)).drop("_t", "_ascii", "_wide", "_found")
 
 
 def market_code(c: Column | str, kb: Vocabulary = Vocabulary()) -> Column:
@@ -139,7 +165,7 @@ def ontology_map(docs: DataFrame, kb: Vocabulary = Vocabulary(), thresholds: Thr
     """
     t = thresholds
     text = spread(docs).select(key, *([F.col(known).alias("_known")] if known else []), F.lower(F.col(text_col)).alias("_t"))
-    found = text.withColumns({**{name: entity_codes(F.col("_t"), kb.levels[name]) for name in LEVEL_COLUMNS}, "_w": _words(F.col("_t"))})
+    found = with_parts(text).withColumns({**{name: entity_codes(kb.levels[name]) for name in LEVEL_COLUMNS}, "_w": _words(F.col("_t"))})
     where = F.col("_known") if known else jurisdiction_of(F.col("jurisdictions"), "_t", kb)
     any_entity = sum((F.size(c) for c in LEVEL_COLUMNS), F.lit(0)) > 0
     base = found.withColumn("jurisdiction", where)

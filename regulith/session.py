@@ -94,5 +94,10 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
 
 
+def bind(value: Column, use) -> Column:
+    """Evaluate a sub-expression once and use it several times inside one expression."""
+    return F.element_at(F.transform(F.array(value), lambda x: use(x)), 1)
+
+
 def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
