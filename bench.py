@@ -28,7 +28,7 @@ HEADLINE = [
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cores = os.environ.get("BENCH_CPUS", "8")
-    runs = int(os.environ.get("BENCH_RUNS", "3"))
+    runs = int(os.environ.get("BENCH_RUNS", "1"))
     spark = local_session("bench", cores=cores, partitions=int(cores) if cores.isdigit() else 8)
     queries, _ = catalog.load()
     wanted = [n for n in os.environ.get("BENCH_QUERIES", "").split(",") if n] or HEADLINE

@@ -110,7 +110,7 @@ def clause_type(c: Column | str) -> Column:
 def chunk_document(docs: DataFrame, max_tokens: int = MAX_TOKENS, overlap: int = OVERLAP_TOKENS,
                    min_clause: int = MIN_CLAUSE_CHARS, min_chunk: int = MIN_CHUNK_TOKENS) -> DataFrame:
     """(doc_id, paragraphs) -> one row per chunk with id, content, tokens, type and place."""
-    packed = spread(docs).select(
+    packed = docs.select(
         "doc_id", F.array_join("paragraphs", "\n").alias("_full"),
         merge_short_chunks(pack_clauses(split_clauses("paragraphs", min_clause), max_tokens, overlap), min_chunk, max_tokens).alias("_chunks"),
     )
@@ -164,7 +164,7 @@ def split_chunks(docs: DataFrame) -> DataFrame:
 
 def with_paragraphs(layout_docs: DataFrame) -> DataFrame:
     pages = "pages" if "pages" in layout_docs.columns else None
-    return layout_docs.withColumn("paragraphs", paragraphs("text", pages))
+    return spread(layout_docs).withColumn("paragraphs", paragraphs("text", pages))
 
 
 def layout_metadata(layout_docs: DataFrame) -> DataFrame:
