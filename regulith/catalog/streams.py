@@ -102,12 +102,11 @@ def _(v):
     return usage.trace_sessions(v("query_log_v"))
 
 
-@query("t8_trace_log", "select trace_id, log_id, <<i:row_number() over (partition by trace_id order by created_at, log_id)>> seq from query_log_v where trace_id in (select trace_id from query_log_v where verdict = 'refused')")
+@query("t8_trace_log", "select trace_id, log_id, <<t:created_at>> created_at from query_log_v where trace_id in (select trace_id from query_log_v where verdict = 'refused') order by trace_id, created_at, log_id")
 def _(v):
-    from pyspark.sql import Window as W
-
     from regulith.operators.joins import lookup
 
     logs = v("query_log_v").select("trace_id", "log_id", "created_at", "verdict")
     wanted = lookup(logs, logs.filter("verdict = 'refused'").select("trace_id").distinct(), "trace_id")
-    return wanted.select("trace_id", "log_id", F.row_number().over(W.partitionBy("trace_id").orderBy("created_at", "log_id")).alias("seq"))
+    # A global sort is split by range, so one long trace is not one task.
+    return wanted.select("trace_id", "log_id", "created_at").orderBy("trace_id", "created_at", "log_id")

@@ -55,11 +55,20 @@ def running_average(df: DataFrame, keys: list[str], ts: str, tie: str, value: st
     return base.join(offsets, [*keys, "_b"]).withColumn("running_avg", F.try_divide(total, n)).drop("_b", "_s0", "_n0")
 
 
-def cumulative_offsets(chunks: DataFrame, doc_id: str = "doc_id", order: str = "pos", content: str = "content") -> DataFrame:
-    """Start and end of each chunk in the concatenation of its document's chunks."""
-    w = W.partitionBy(doc_id).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.length(content)).over(w), F.lit(0))
-    return chunks.withColumn("start_char", start).withColumn("end_char", F.col("start_char") + F.length(content))
+def cumulative_offsets(chunks: DataFrame, doc_id: str = "doc_id", order: str = "pos", content: str = "content", rows_per_slice: int = 10_000) -> DataFrame:
+    """Start and end of each chunk in the concatenation of its document's chunks.
+
+    A document is cut into slices of positions, so one that holds most chunks is spread; the length of
+    the earlier slices enters as an offset.
+    """
+    base = chunks.withColumn("_len", F.length(content)).withColumn("_b", F.floor(F.col(order) / rows_per_slice))
+    totals = base.groupBy(doc_id, "_b").agg(F.sum("_len").alias("_n"))
+    before = W.partitionBy(doc_id).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    offsets = totals.select(doc_id, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    within = W.partitionBy(doc_id, "_b").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    start = F.coalesce(F.sum("_len").over(within), F.lit(0)) + F.col("_off")
+    placed = base.join(offsets, [doc_id, "_b"]).withColumn("start_char", start).withColumn("end_char", F.col("start_char") + F.col("_len"))
+    return placed.drop("_len", "_b", "_off")
 
 
 def with_ordinal(df: DataFrame, array_col: str, keep: list[str]) -> DataFrame:

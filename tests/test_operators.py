@@ -52,6 +52,15 @@ def test_hot_key_trailing_usage(spark):
     assert got == {i: min(i, 8) + 1 for i in range(500)}
 
 
+def test_hot_document_offsets(spark):
+    rows = spark.range(50).select(F.lit(1).alias("doc_id"), F.col("id").alias("pos"), F.repeat(F.lit("x"), (F.col("id") % 4 + 1).cast("int")).alias("content"))
+    got = {r.pos: (r.start_char, r.end_char) for r in windows.cumulative_offsets(rows, rows_per_slice=7).collect()}
+    at = 0
+    for i in range(50):
+        assert got[i] == (at, at + i % 4 + 1)
+        at += i % 4 + 1
+
+
 def test_sessions(spark):
     base = dt.datetime(2024, 1, 1)
     seconds = [0, 1000, 1799 + 1000, 4600, 9000]
