@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from regulith.catalog.base import AS_OF, query
 from regulith.catalog.policy import compose_sql
-from regulith.catalog.retrieval import HYBRID
+from regulith.catalog.retrieval import HYBRID, stored
 from regulith.catalog.texts import layout_docs
 from regulith.operators.filters import SignalFilter
 from regulith.plans import answers, ingest, quality
@@ -20,7 +20,8 @@ ALL_HOSTS = lambda v: v("documents").select(F.concat("source", F.lit(".gov.cn"))
 def _batch(v):
     packs = v("pack_v").withColumn("query_fingerprint", F.substring("query_fingerprint", 1, 16))
     nothing = ALL_HOSTS(v).filter("domain = 'none'")
-    return answers.answer_batch(v("question_vec"), v("citation_emb_v"), packs, ALL_HOSTS(v), nothing, AS_OF)
+    asks, cites = stored(v, "question_vec", "citation_emb_v")
+    return answers.answer_batch(asks, cites, packs, ALL_HOSTS(v), nothing, AS_OF)
 
 
 @query("x24_answer_batch", f"""with {HYBRID}, res as (select h.question_id, h.citation_id, h."rank", c.title, c.effective_date, c.content from hybrid h join act c using (citation_id)), {compose_sql('res', 'question_vec')}

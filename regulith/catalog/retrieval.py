@@ -7,6 +7,12 @@ from pyspark.sql import functions as F
 from regulith.catalog.base import query
 from regulith.operators.filters import enrich_results
 from regulith.plans import retrieval as r
+from regulith.session import materialise
+
+def stored(v, *names: str):
+    """The named views as written tables: search reads its tables several times, like the stored ones it is meant for."""
+    return [materialise(v(n), n) for n in names]
+
 
 SCORED = """(select q.question_id, c.citation_id, round(list_cosine_similarity(q.embedding::double[], c.embedding::double[]), 12) vscore
  from question_vec q join (select * from citation_emb_v where superseded_by is null) c on q.province = c.province and q.doc_class = c.doc_class and (q.asset is null or q.asset = c.asset))"""
@@ -73,7 +79,8 @@ POOL = f"pool as (select * from ({TOPK}) where \"rank\" <= 200)"
 
 @query("x2b_bm25", f"with {ACTIVE}, {POOL}, {bm25_sql('pool', 'question_vec', 'act')} select question_id, citation_id, <<r:tscore>> tscore from bm")
 def _(v):
-    q, c = v("question_vec"), v("citation_emb_v").filter("superseded_by is null")
+    q, c = stored(v, "question_vec", "citation_emb_v")
+    c = c.filter("superseded_by is null")
     return r.bm25(q, r.vector_topk(q, c, 200), c)
 
 
@@ -87,5 +94,5 @@ HYBRID = f"""{ACTIVE}, {POOL}, {bm25_sql('pool', 'question_vec', 'act')},
 @query("x3_hybrid_search", f"""with {HYBRID} select h.question_id, h.citation_id, <<r:h.score>> score, <<r:h.vscore>> vector_score, <<r:h.tscore>> text_score, h."rank", c.title, c.url, <<d:c.effective_date>> effective_date,
  case when length(c.content) <= 500 then c.content else substr(c.content, 1, 500) || '...' end passage from hybrid h join act c using (citation_id)""")
 def _(v):
-    hits = enrich_results(r.hybrid_search(v("question_vec"), v("citation_emb_v")))
+    hits = enrich_results(r.hybrid_search(*stored(v, "question_vec", "citation_emb_v")))
     return hits.select("question_id", "citation_id", "score", "vector_score", "text_score", "rank", "metadata.title", "metadata.url", "metadata.effective_date", "passage")
