@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from regulith.catalog.base import query
 from regulith.operators.filters import enrich_results
 from regulith.plans import retrieval as r

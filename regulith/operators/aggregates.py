@@ -5,13 +5,12 @@ from __future__ import annotations
 import datetime as dt
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from regulith.functions.scoring import combined_confidence
 from regulith.functions.urls import doc_format
 from regulith.operators.filters import recent, stale_sources
-from regulith.operators.windows import deadlines_before, share_of_total, topk_per_key
+from regulith.operators.windows import share_of_total, topk_per_key
 from regulith.sources import vocab
 
 

@@ -6,7 +6,6 @@ import datetime as dt
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from regulith.functions.text import sha256_hex, stable_id
 from regulith.operators.maintenance import upsert
