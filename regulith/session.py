@@ -44,19 +44,23 @@ def local_session(name: str = "regulith", cores: str = "*", partitions: int = 8)
     return spark
 
 
+_FALLBACK: dict[str, str] = {}  # of local sessions without a setting, by application
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a local session (tests) may fall back to a temporary folder.
+    Only a local session (tests) may fall back to a temporary folder; the setting itself is never changed.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not context.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    fallback = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", fallback)
-    return fallback
+    if context.applicationId not in _FALLBACK:
+        _FALLBACK[context.applicationId] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return _FALLBACK[context.applicationId]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
