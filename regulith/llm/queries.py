@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from regulith.llm.archive import archive_round_trip
 from regulith.llm.block_dedup import dedup_windows
+from regulith.llm.minhash import near_duplicates
+from regulith.llm.quality_rules import quality_rules
 from regulith.llm.suffix_dedup import dedup_strings
 from regulith.session import configure
 from regulith.sources.tables import load
@@ -31,6 +34,11 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op3_quality_rules")
+def op3(table):
+    return quality_rules(table("documents"))
+
+
 @query("op4_suffix_dedup")
 def op4(table):
     return dedup_strings(table("documents"), width=100)
@@ -39,3 +47,25 @@ def op4(table):
 @query("op7_block_dedup")
 def op7(table):
     return dedup_windows(table("documents"), window=50)
+
+
+@query("op8_minhash")
+def op8(table):
+    return near_duplicates(table("documents"), width=3, percent=85)
+
+
+ARCHIVE_SQL = """
+with p as (select page_id, octet_length(encode(coalesce(html, ''))) n, sha1(coalesce(html, '')) h from pages),
+ f as (select h, min(page_id) first from p group by h),
+ v as (select p.*, f.first, [cast(concat('0x', substr(p.h, 1 + 5 * i, 5)) as bigint) for i in range(8)] g from p join f using (h))
+select page_id, n payload_bytes,
+ array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + cast(g[1 + k // 4] // [32768, 1024, 32, 1][1 + k % 4] % 32 as bigint), 1) for k in range(32)], '') payload_digest,
+ case when first = page_id then 'response' else 'revisit' end record_type,
+ case when first = page_id then null else first end refers_to
+from v
+"""
+
+
+@query("op9_archive", ARCHIVE_SQL)
+def op9(table):
+    return archive_round_trip(table("pages"))
