@@ -98,11 +98,14 @@ def byte_values(data: np.ndarray, lower: bool = False) -> np.ndarray:
     return table("lower" if lower else "byte")[data]
 
 
-def word_bounds(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of all words and, per text, the number of its first word (with one more entry at the end)."""
+def word_bounds(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, breaks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all words and, per text, the number of its first word (with one more entry at the end).
+
+    ``breaks`` tells for each byte value whether it parts words; by default the separators do.
+    """
     n = len(data)
     inside = np.zeros(n + 1, bool)
-    np.logical_not(_IS_SPACE[data], out=inside[:n])
+    np.logical_not((_IS_SPACE if breaks is None else breaks)[data], out=inside[:n])
     opens = inside[:n].copy()
     opens[1:] &= ~inside[: n - 1]
     cut = starts[(starts < n) & (starts < ends)]

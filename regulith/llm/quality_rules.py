@@ -17,8 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from regulith.llm.kernel import U64, mix, rolling_ids, within, word_bounds, word_ids
-from regulith.llm.packed import Batch, batches, bounded_batches
-from regulith.llm.packed import first_of
+from regulith.llm.packed import Batch, batches, bounded_batches, first_of
 
 # The symbols that are counted, and base rules.
 SYMBOLS = "#*$%&|<>"
@@ -190,6 +189,8 @@ def judge(docs: DataFrame, rows: list, char_limit: float, word_limit: float, lea
         share[COMMON] = max(0.0, 1 - share.sum())
         refs[r["lang"]] = (chars / max(1.0, chars.sum()), place.astype(np.int16), share)
 
+    nothing = (np.zeros(CLASSES), np.full(BINS, COMMON, np.int16), np.zeros(COMMON + 1))
+
     def run(parts):
         for batch, names in languages(parts):
             counts = Counts(batch)
@@ -198,7 +199,7 @@ def judge(docs: DataFrame, rows: list, char_limit: float, word_limit: float, lea
             js_chars, js_words = np.zeros(n), np.zeros(n)
             for lang in set(names.tolist()):
                 mine = np.flatnonzero(names == lang)
-                ref_chars, place, share = refs[lang]
+                ref_chars, place, share = refs.get(lang, nothing)  # a language of empty texts has no reference
                 p = counts.histogram[mine]
                 js_chars[mine] = divergence(p / np.maximum(1, p.sum(axis=1))[:, None], ref_chars)
                 number = np.full(n, -1)
