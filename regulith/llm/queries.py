@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from regulith.llm.archive import archive_round_trip
 from regulith.llm.block_dedup import dedup_windows
+from regulith.llm.decontaminate import contaminated
 from regulith.llm.minhash import near_duplicates
 from regulith.llm.quality_rules import quality_rules
 from regulith.llm.suffix_dedup import dedup_strings
+from regulith.llm.toxicity import score_toxicity
 from regulith.session import configure
 from regulith.sources.tables import load
 
@@ -34,6 +36,16 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_decontaminate")
+def op1(table):
+    return contaminated(table("documents"), table("benchmark"))
+
+
+@query("op2_toxicity")
+def op2(table):
+    return score_toxicity(table("documents"), table("labels"))
+
+
 @query("op3_quality_rules")
 def op3(table):
     return quality_rules(table("documents"))

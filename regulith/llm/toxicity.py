@@ -21,7 +21,9 @@ from regulith.llm.kernel import BASE, U64, mix, word_bounds, word_ids
 from regulith.llm.packed import Batch, batches, bounded_batches
 
 TABLE_BITS = 20
+HALF = 1 << (TABLE_BITS - 1)  # single words are in the lower half of the table, pairs in the upper
 SKIPS = (1, 2, 3)  # distance of the second word of a pair
+PAIR = 0.3  # value of a pair that is present; a word has 1, so that words are credited first
 
 
 def breaks() -> np.ndarray:
@@ -37,12 +39,12 @@ def features(batch: Batch) -> tuple[np.ndarray, np.ndarray]:
     first, end, edges = word_bounds(batch.data, batch.starts, batch.ends, breaks())
     words = word_ids(batch.data, first, end, lower=True)
     text = np.repeat(np.arange(len(batch)), np.diff(edges))
-    places, owners = [words >> U64(64 - TABLE_BITS)], [text]
+    places, owners = [words >> U64(65 - TABLE_BITS)], [text]
     for skip in SKIPS:
         n = max(0, len(words) - skip)
-        pair = mix(words[:n] * U64(BASE) + words[skip:] + U64(skip)) >> U64(64 - TABLE_BITS)
+        pair = mix(words[:n] * U64(BASE) + words[skip:] + U64(skip)) >> U64(65 - TABLE_BITS)
         same = text[:n] == text[skip:]
-        places.append(pair[same])
+        places.append(pair[same] + U64(HALF))
         owners.append(text[:n][same])
     return np.concatenate(places).astype(np.int64), np.concatenate(owners)
 
@@ -57,7 +59,7 @@ def rows_of(batch: Batch) -> tuple[np.ndarray, np.ndarray]:
 class Ftrl:
     """FTRL-proximal over presence features, with a bias that is not penalised."""
 
-    def __init__(self, alpha: float = 0.1, beta: float = 1.0, l1: float = 1.0, l2: float = 1.0):
+    def __init__(self, alpha: float = 2.0, beta: float = 1.0, l1: float = 4.0, l2: float = 0.1):
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
         self.z, self.n = np.zeros(1 << TABLE_BITS), np.zeros(1 << TABLE_BITS)
         self.bias_z = self.bias_n = 0.0
@@ -70,12 +72,14 @@ class Ftrl:
 
     def learn(self, at: np.ndarray, label: int) -> None:
         z, n = self.z[at], self.n[at]
+        x = np.where(at < HALF, 1.0, PAIR)
         w, b = self.weights(z, n), self.bias()
-        g = 1 / (1 + np.exp(-np.clip(w.sum() + b, -30, 30))) - label
+        error = 1 / (1 + np.exp(-np.clip(w @ x + b, -30, 30))) - label
+        g = error * x
         self.z[at] = z + g - (np.sqrt(n + g * g) - np.sqrt(n)) / self.alpha * w
         self.n[at] = n + g * g
-        self.bias_z += g - ((self.bias_n + g * g) ** 0.5 - self.bias_n**0.5) / self.alpha * b
-        self.bias_n += g * g
+        self.bias_z += error - ((self.bias_n + error * error) ** 0.5 - self.bias_n**0.5) / self.alpha * b
+        self.bias_n += error * error
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int, epochs: int, id_col: str, text_col: str, label_col: str) -> tuple[np.ndarray, np.ndarray, float]:
@@ -115,7 +119,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int, epochs: int, id_col:
 
 
 def score_toxicity(
-    docs: DataFrame, labels: DataFrame, max_rows: int = 10_000, epochs: int = 3,
+    docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, epochs: int = 3,
     id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
 ) -> DataFrame:
     """Score every text; learn from labelled rows whose crc32(id as text) mod 5 is not 0.
@@ -130,7 +134,7 @@ def score_toxicity(
 
     def run(parts: Iterator[pa.RecordBatch]):
         weights = np.zeros(1 << TABLE_BITS)
-        weights[at] = w
+        weights[at] = w * np.where(at < HALF, 1.0, PAIR)
         for batch in batches(parts):
             places, owners = features(batch)
             some = weights[places] != 0
