@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from regulith.llm.archive import archive_round_trip
 from regulith.llm.block_dedup import dedup_windows
 from regulith.llm.decontaminate import contaminated
+from regulith.llm.line_templates import drop_recurring_lines
 from regulith.llm.minhash import near_duplicates
 from regulith.llm.quality_rules import quality_rules
 from regulith.llm.suffix_dedup import dedup_strings
@@ -81,3 +82,27 @@ from v
 @query("op9_archive", ARCHIVE_SQL)
 def op9(table):
     return archive_round_trip(table("pages"))
+
+
+LINE_SQL = """
+with l0 as (select doc_id, text, unnest(string_split(text, chr(10))) line, unnest(range(len(string_split(text, chr(10))))) pos from documents where text is not null),
+ l1 as (select *, regexp_replace(trim(regexp_replace(line, '[\\x20\\x09-\\x0D]+', ' ', 'g'), ' '), '[0-9]+', '<*>', 'g') mask from l0),
+ l2 as (select *, string_split(mask, ' ') tokens from l1 where mask <> ''),
+ l3 as (select *, len(tokens) n, array_to_string(tokens[1:3], ' ') lead from l2),
+ l4 as (select *, first_value(mask) over w head, min(doc_id) over (partition by n, lead) low, max(doc_id) over (partition by n, lead) high
+  from l3 window w as (partition by n, lead order by doc_id, pos)),
+ l5 as (select *, case when 100 * list_sum([case when tokens[i] = string_split(head, ' ')[i] then 1 else 0 end for i in range(1, n + 1)]) >= 60 * n then '' else mask end own
+  from l4 where low <> high),
+ t as (select n, lead, own, min(doc_id) first from l5 group by n, lead, own having count(distinct doc_id) >= 3),
+ dropped as (select l5.doc_id, l5.pos from l5 join t using (n, lead, own) where l5.doc_id <> t.first),
+ kept as (select l0.doc_id, string_agg(l0.line, chr(10) order by l0.pos) text, count(*) n from l0 left join dropped d on d.doc_id = l0.doc_id and d.pos = l0.pos where d.pos is null group by l0.doc_id)
+select d.doc_id, d.lang, d.source, case when d.text is null then null else coalesce(k.text, '') end text,
+ case when d.text is null then 0 else len(string_split(d.text, chr(10))) end n_lines,
+ case when d.text is null then 0 else len(string_split(d.text, chr(10))) - coalesce(k.n, 0) end n_dropped
+from documents d left join kept k on k.doc_id = d.doc_id
+"""
+
+
+@query("op10_line_templates", LINE_SQL)
+def op10(table):
+    return drop_recurring_lines(table("documents")).drop("n_chars")
