@@ -3,10 +3,10 @@
 1. Each text becomes a set of word shingles with ``HASHES`` minima. Bands of full minima give candidate keys; of each
    minimum only the low 4 bits stay, packed into 64 bytes. Texts with equal sets are one node from here on.
 2. Nodes that share a band key meet in tasks of bounded size. Equal nibbles are counted with bit operations and corrected
-   for chance collisions; pairs within five standard errors of the threshold connect candidates. A task emits a spanning
-   forest of them, not all pairs.
-3. Within each connected group of candidates, links are confirmed on the full sets, again walking a spanning forest:
-   documents already reached are not compared again, documents not reached are compared with every other one.
+   for chance collisions; pairs within five standard errors of the threshold connect candidates. A task emits
+   each component it finds as a star, not all pairs.
+3. Within each connected group of candidates, links are confirmed on the full sets, again component by
+   component: documents already reached are not compared again, documents not reached are compared with every other one.
 4. Components of the confirmed links are the classes.
 
 Band keys and candidate groups beyond a task's size are cut in chunks, and every pair of chunks meets in a task of its
@@ -30,7 +30,7 @@ from regulith.llm.packed import Batch, batches, bounded_batches
 
 HASHES, BITS = 128, 4
 MEMBERS = 2048  # nodes of a band key in one task
-SET_BYTES = 8 << 20  # of sets in one chunk of a candidate group
+SET_BYTES = 2 << 20  # of sets in one chunk of a candidate group
 
 
 def band_rows(share: float) -> int:
@@ -123,18 +123,17 @@ def equal_nibbles(one: np.ndarray, many: np.ndarray) -> np.ndarray:
 
 
 def walk(n: int, linked) -> list[tuple[int, int]]:
-    """Spanning forest of n nodes; ``linked(i, rest)`` tells which of the rest are linked with node i."""
-    rest, out = np.arange(1, n), []
+    """Components of n nodes as (least node, other node); ``linked(i, rest)`` tells which of the rest are linked with node i."""
+    root, rest, out = 0, np.arange(1, n), []
     queue = [0]
-    while queue or len(rest):
+    while len(rest):
         if not queue:
-            queue, rest = [int(rest[0])], rest[1:]
-        i = queue.pop()
-        if not len(rest):
-            break
-        hit = linked(i, rest)
+            root, rest = int(rest[0]), rest[1:]
+            queue = [root]
+            continue
+        hit = linked(queue.pop(), rest)
         found = rest[hit].tolist()
-        out += [(i, j) for j in found]
+        out += [(root, j) for j in found]
         queue += found
         rest = rest[~hit]
     return out
@@ -213,16 +212,20 @@ def similar_sets(parts: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.R
             start = np.append(0, np.cumsum(size))
             present = np.zeros(int(local.max()) + 1, bool)
 
+            held = {"rest": np.zeros(0, np.int64)}
+
             def linked(i, rest):
-                present[local[start[i] : start[i + 1]]] = True
-                shared = np.array([np.count_nonzero(present[local[start[j] : start[j + 1]]]) for j in rest]) if len(rest) < 16 else together(rest)
-                present[local[start[i] : start[i + 1]]] = False
+                own = local[start[i] : start[i + 1]]
+                present[own] = True
+                if len(rest) < 0.7 * len(held["rest"]) or not len(held["rest"]):  # lay out anew the sets that are left
+                    heads = np.append(0, np.cumsum(size[rest])[:-1])
+                    items = np.repeat(start[rest] - heads, size[rest]) + np.arange(int(size[rest].sum()))
+                    held.update(rest=rest, heads=heads, items=local[items])
+                shared = np.add.reduceat(present[held["items"]], held["heads"], dtype=np.int64)
+                shared = shared[np.searchsorted(held["rest"], rest)]
+                present[own] = False
                 return 100 * shared >= percent * (size[i] + size[rest] - shared)
 
-            def together(rest):
-                items = np.repeat(start[rest] - np.append(0, np.cumsum(size[rest])[:-1]), size[rest]) + np.arange(int(size[rest].sum()))
-                return np.add.reduceat(present[local[items]].astype(np.int64), np.append(0, np.cumsum(size[rest])[:-1]))
-
             found = walk(int(high - low), linked)
             if found:
                 a, b = np.array(found).T
