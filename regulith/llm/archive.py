@@ -1,6 +1,6 @@
 """Web archives inside ZIP packages: written by tasks, read back by ranges.
 
-A package holds ``archive/data.warc``, a stored (uncompressed) member with one WARC record per page, and
+A package holds ``archive/data.warc.gz``, a stored member in which every WARC record is a gzip member of its own, and
 ``indexes/index.jsonl``, one line per record with its offset and length in that member. The reader never unpacks: it reads
 the end of the file, walks the central directory (ZIP64 records included), skips the local header of the stored members,
 reads the index and then ranges of the archive.
@@ -13,6 +13,7 @@ without their content.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import io
 import json
@@ -30,7 +31,7 @@ from regulith.llm.packed import bounded_batches
 from regulith.session import scratch_path
 
 # Names within a package, signatures and marks of the ZIP format.
-DATA, INDEX = "archive/data.warc", "indexes/index.jsonl"
+DATA, INDEX = "archive/data.warc.gz", "indexes/index.jsonl"
 END, END64, LOCATOR64, ENTRY, LOCAL = b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07", b"PK\x01\x02", b"PK\x03\x04"
 WIDE, ZIP64_FIELD, STORED = 0xFFFFFFFF, 0x0001, 0
 RESPONSE, REVISIT = "response", "revisit"
@@ -178,7 +179,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
 
         for part in parts:
             for page, url, body, first, repeat in zip(*(c.to_pylist() for c in part.columns)):
-                raw = record(page, url, body.encode("utf-8"), first, REVISIT if repeat else RESPONSE)
+                raw = gzip.compress(record(page, url, body.encode("utf-8"), first, REVISIT if repeat else RESPONSE), 1, mtime=0)
                 held.append(({"id": page}, raw))
                 size += len(raw)
                 if size >= PACKAGE_BYTES:
@@ -219,7 +220,7 @@ def records_of(read: Callable[[int, int], bytes], length: int, payloads: bool) -
             end = spots[to][0] + spots[to][1]
             to += 1
         stretch = read(base + spots[at][0], end - spots[at][0])
-        rows = [parsed(stretch[o - spots[at][0] : o - spots[at][0] + n]) for o, n in spots[at:to]]
+        rows = [parsed(gzip.decompress(stretch[o - spots[at][0] : o - spots[at][0] + n])) for o, n in spots[at:to]]
         page, url, size, digest, kind, first, payload = zip(*rows)
         columns = [pa.array(page, pa.int64()), pa.array(url, pa.string()), pa.array(size, pa.int64()), pa.array(digest, pa.string()), pa.array(kind, pa.string()), pa.array(first, pa.int64())]
         names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"]
