@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from regulith.llm.kernel import CHUNK, U64, Spans, byte_values, mix
-from regulith.llm.packed import Batch, batches, bounded_batches
+from regulith.llm.packed import Batch, batches, bounded_batches, keep_rows
 
 GRAM = 10
 FILTER_BITS = 21
@@ -152,25 +152,47 @@ def contaminated(
     """
     bounded_batches(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    items = benchmark.select(F.col(item_col).cast("bigint").alias("item"), F.col(item_text).alias("text")).where("length(text) > 0")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, math.ceil(total / BLOCK_BYTES))
     out = None
-    for b in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b).orderBy("item", "text").collect()  # about BLOCK_BYTES
-        found = search(slim, rows, share)
+    for index in indexes(benchmark, share, item_col, item_text):
+        found = search(slim, index)
         out = found if out is None else out.union(found)
     out = out.groupBy("id", "item").agg(F.min("edits").alias("edits"), F.max("item_bytes").alias("item_bytes"))
     return out.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "edits", "item_bytes")
 
 
-def search(docs: DataFrame, rows: list, share: float) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.08, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows, with all columns, that hold no item; see ``contaminated``."""
+    for index in indexes(benchmark, share, item_col, item_text):
+        docs = keep_rows(docs, text_col, clean_with(index))
+    return docs
+
+
+def clean_with(index: Index):
+    def clean(batch: Batch) -> np.ndarray:
+        out = np.ones(len(batch), bool)
+        out[[t for t, _, _ in leaks(batch, index)]] = False
+        return out
+
+    return clean
+
+
+def indexes(benchmark: DataFrame, share: float, item_col: str, item_text: str) -> list[Index]:
+    """Indexes of the items, each over about BLOCK_BYTES of them; one at least."""
+    items = benchmark.select(F.col(item_col).cast("bigint").alias("item"), F.col(item_text).alias("text")).where("length(text) > 0")
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, math.ceil(total / BLOCK_BYTES))
+    return [index_of(items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b).orderBy("item", "text").collect(), share) for b in range(blocks)]
+
+
+def index_of(rows: list, share: float) -> Index:
     raw = [r["text"].encode("utf-8") for r in rows]
-    ends = np.cumsum([len(x) for x in raw]) if raw else np.zeros(0, np.int64)
+    ends = np.cumsum([len(x) for x in raw], dtype=np.int64)
     joined = Batch(np.arange(len(raw)), np.zeros(len(raw), bool), np.frombuffer(b"".join(raw), np.uint8), ends - np.diff(ends, prepend=0), ends)
     data, low, high = folded(joined)
-    index = Index([r["item"] for r in rows], [data[a:b].tobytes().strip() for a, b in zip(low, high)], share)
+    return Index([r["item"] for r in rows], [data[a:b].tobytes().strip() for a, b in zip(low, high)], share)
+
 
+def search(docs: DataFrame, index: Index) -> DataFrame:
     def run(parts: Iterator[pa.RecordBatch]):
         for batch in batches(parts):
             found = leaks(batch, index)

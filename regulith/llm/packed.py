@@ -124,6 +124,20 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return docs.select(F.col(id_col).cast("bigint"), F.col(text_col)).mapInArrow(run, "batch bigint, payload binary").repartition("batch")
 
 
+def keep_rows(docs: DataFrame, text_col: str, decide: Callable[[Batch], np.ndarray]) -> DataFrame:
+    """The rows, all columns as they are, whose text ``decide`` accepts; no row moves."""
+    bounded_batches(docs.sparkSession)
+    at = docs.columns.index(text_col)
+
+    def run(parts):
+        for part in parts:
+            data, starts, ends = text_buffer(part.column(at))
+            n = part.num_rows
+            yield part.filter(pa.array(decide(Batch(np.arange(n), np.zeros(n, bool), data, starts, ends)), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 class Request:
     """Sorted distinct keys of one kind, with columns that go along; ``short`` sends 32 bits of each key."""
 
@@ -154,7 +168,7 @@ def first_of(keys: np.ndarray, *order: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return ordered[new], by[new], group
 
 
-def ask(packed: DataFrame, requests: Callable, judge: Callable, answers_in: list[int] | None = None) -> DataFrame:
+def ask(packed: DataFrame, requests: Callable, judge: Callable) -> DataFrame:
     """One round: (batch, marks), marks being an array of (kind, bucket, block of numbers).
 
     ``requests(batch, marks)`` gives the requests of a batch, ``judge(blocks)`` takes {kind: [blocks]} of one bucket and

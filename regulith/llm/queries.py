@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from regulith.llm.archive import archive_round_trip
 from regulith.llm.block_dedup import dedup_windows
 from regulith.llm.decontaminate import contaminated
 from regulith.llm.line_templates import drop_recurring_lines
 from regulith.llm.minhash import near_duplicates
+from regulith.llm.packing import pack_documents
+from regulith.llm.perplexity import perplexity_filter
 from regulith.llm.quality_rules import quality_rules
 from regulith.llm.suffix_dedup import dedup_strings
 from regulith.llm.toxicity import score_toxicity
@@ -57,6 +60,16 @@ def op4(table):
     return dedup_strings(table("documents"), width=100)
 
 
+@query("op5_packing")
+def op5(table):
+    return pack_documents(table("documents"))
+
+
+@query("op6_perplexity")
+def op6(table):
+    return perplexity_filter(table("documents"), table("labels"))
+
+
 @query("op7_block_dedup")
 def op7(table):
     return dedup_windows(table("documents"), window=50)
@@ -106,3 +119,13 @@ from documents d left join kept k on k.doc_id = d.doc_id
 @query("op10_line_templates", LINE_SQL)
 def op10(table):
     return drop_recurring_lines(table("documents")).drop("n_chars")
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    configure(spark)
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES["pipeline"] = pipeline
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from regulith.llm.kernel import BASE, U64, mix, word_bounds, word_ids
-from regulith.llm.packed import Batch, batches, bounded_batches
+from regulith.llm.packed import Batch, batches, bounded_batches, keep_rows
 
 TABLE_BITS = 20
 HALF = 1 << (TABLE_BITS - 1)  # single words are in the lower half of the table, pairs in the upper
@@ -118,6 +118,22 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int, epochs: int, id_col:
     return np.frombuffer(model[0]["at"], np.int64), np.frombuffer(model[0]["w"]), model[0]["bias"]
 
 
+class Scorer:
+    """Scores of a batch's texts."""
+
+    def __init__(self, at: np.ndarray, w: np.ndarray, bias: float):
+        self.at, self.values, self.bias = at, w * np.where(at < HALF, 1.0, PAIR), bias
+
+    def __call__(self, batch: Batch) -> np.ndarray:
+        weights = np.zeros(1 << TABLE_BITS)
+        weights[self.at] = self.values
+        places, owners = features(batch)
+        some = weights[places] != 0
+        both = np.unique((owners[some] << TABLE_BITS) | places[some])
+        total = self.bias + np.bincount(both >> TABLE_BITS, weights[both & ((1 << TABLE_BITS) - 1)], minlength=len(batch))
+        return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
+
+
 def score_toxicity(
     docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, epochs: int = 3,
     id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
@@ -130,19 +146,22 @@ def score_toxicity(
     to 0. Other columns are not read. An empty table gives no rows.
     """
     bounded_batches(docs.sparkSession)
-    at, w, bias = fit(docs, labels, max_rows, epochs, id_col, text_col, label_col)
+    scorer = Scorer(*fit(docs, labels, max_rows, epochs, id_col, text_col, label_col))
 
     def run(parts: Iterator[pa.RecordBatch]):
-        weights = np.zeros(1 << TABLE_BITS)
-        weights[at] = w * np.where(at < HALF, 1.0, PAIR)
         for batch in batches(parts):
-            places, owners = features(batch)
-            some = weights[places] != 0
-            both = np.unique((owners[some] << TABLE_BITS) | places[some])
-            total = bias + np.bincount(both >> TABLE_BITS, weights[both & ((1 << TABLE_BITS) - 1)], minlength=len(batch))
-            score = 1 / (1 + np.exp(-np.clip(total, -30, 30)))
+            score = scorer(batch)
             yield pa.RecordBatch.from_arrays([batch.id_array(), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=["id", "score", "predicted"])
 
     scored = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id bigint, score double, predicted int")
     held = F.coalesce(F.pmod(F.crc32(F.col("id").cast("string")), F.lit(5)) == 0, F.lit(True))
     return scored.select(F.col("id").alias(id_col), held.alias("held_out"), "score", "predicted")
+
+
+def reject_toxic(
+    docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, epochs: int = 3,
+    id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
+) -> DataFrame:
+    """The rows, with all columns, whose score is below 0.5; see ``score_toxicity``."""
+    scorer = Scorer(*fit(docs, labels, max_rows, epochs, id_col, text_col, label_col))
+    return keep_rows(docs, text_col, lambda batch: scorer(batch) < 0.5)
