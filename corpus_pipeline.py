@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from regulith.llm.decontaminate import drop_contaminated
-from regulith.llm.line_templates import drop_recurring_lines
+from regulith.llm.line_templates import drop_recurring_lines, fresh
 from regulith.llm.minhash import near_duplicates
 from regulith.llm.packing import pack_documents
 from regulith.llm.toxicity import reject_toxic
@@ -27,9 +27,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest id of each class of near duplicates; equal rows stay once."""
-    kept = near_duplicates(docs, width=5, percent=80).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept_id"]), "left_semi").withColumn("_text_hash", F.xxhash64("text"))
-    return rows.dropDuplicates(["doc_id", "_text_hash"]).drop("_text_hash")
+    kept_id, mark = fresh(docs, "_kept_id", "_text_hash")
+    kept = near_duplicates(docs, width=5, percent=80).where("kept").select(F.col("doc_id").alias(kept_id)).distinct()
+    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept[kept_id]), "left_semi").withColumn(mark, F.xxhash64("text"))
+    return rows.dropDuplicates(["doc_id", mark]).drop(mark)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

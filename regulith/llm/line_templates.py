@@ -25,6 +25,16 @@ def agreement(one: Column, other: Column) -> Column:
     return F.aggregate(equal, F.lit(0), lambda total, x: total + x)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names that no column of the table has."""
+    out = []
+    for name in names:
+        while name.lower() in (c.lower() for c in df.columns):
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def drop_recurring_lines(
     docs: DataFrame, depth: int = 3, similar_percent: int = 60, least_docs: int = 3, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
@@ -54,13 +64,15 @@ def drop_recurring_lines(
     dropped = shared.join(templates, "_template").where(~F.col("_id").eqNullSafe(F.col("_first")))
     dropped = dropped.groupBy("_id", "_hash").agg(F.collect_set("_pos").alias("_dropped"))
 
-    parts = F.split(text, "\n", -1)
-    held = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_dropped"))
-    kept = F.when(F.col("_dropped").isNull(), text).otherwise(F.array_join(F.transform(held, lambda i: F.get(parts, i)), "\n"))
     names = [c for c in docs.columns if c not in (text_col, "n_lines", "n_dropped")]
-    rows = docs.withColumn("_key_hash", F.xxhash64(text))
-    joined = rows.join(dropped, rows[f"`{id_col}`"].eqNullSafe(dropped["_id"]) & (rows["_key_hash"] == dropped["_hash"]), "left")
+    own, near_id, near_hash, gone = fresh(docs, "_own", "_near_id", "_near_hash", "_dropped")
+    dropped = dropped.toDF(near_id, near_hash, gone)
+    rows = docs.withColumn(own, F.xxhash64(text))
+    joined = rows.join(dropped, rows[f"`{id_col}`"].eqNullSafe(dropped[near_id]) & (rows[own] == dropped[near_hash]), "left")
+    parts = F.split(text, "\n", -1)
+    held = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(gone))
+    kept = F.when(F.col(gone).isNull(), text).otherwise(F.array_join(F.transform(held, lambda i: F.get(parts, i)), "\n"))
     return joined.select(
         *(F.col(f"`{c}`") for c in names), kept.alias(text_col),
-        F.when(text.isNull(), 0).otherwise(F.size(parts)).cast("bigint").alias("n_lines"), F.coalesce(F.size("_dropped"), F.lit(0)).cast("bigint").alias("n_dropped"))
+        F.when(text.isNull(), 0).otherwise(F.size(parts)).cast("bigint").alias("n_lines"), F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone)).cast("bigint").alias("n_dropped"))
 

@@ -76,7 +76,7 @@ class Grams:
         lengths = ends - starts
         self.text = np.repeat(np.arange(len(starts)), lengths)
         self.n = lengths
-        offset = np.arange(len(self.text)) - np.repeat(np.append(0, np.cumsum(lengths)[:-1]), lengths)
+        offset = np.arange(len(self.text)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         at = np.repeat(starts, lengths) + offset
         self.keys = np.zeros(len(at), np.int64)
         for back in range(order - 1, -1, -1):
