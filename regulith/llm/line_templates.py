@@ -51,13 +51,15 @@ def drop_recurring_lines(
     count = F.length("_mask") - F.length(F.translate("_mask", " ", "")) + 1
     lines = lines.withColumn("_count", count).withColumn("_leaf", F.xxhash64("_count", F.substring_index("_mask", " ", depth)))
 
-    order = F.struct(F.col("_id").isNull(), F.col("_id"), F.col("_pos"), F.col("_mask"))
+    place = F.struct(F.col("_id").isNull(), F.col("_id"), F.col("_pos"), F.col("_hash"))
     docs_of = F.struct(F.col("_id").isNull(), F.col("_id"))
-    leaves = lines.groupBy("_leaf").agg(F.min(order)["_mask"].alias("_head"), F.min(docs_of).alias("_low"), F.max(docs_of).alias("_high"))
+    leaves = lines.groupBy("_leaf").agg(F.min(place).alias("_head"), F.min(docs_of).alias("_low"), F.max(docs_of).alias("_high"))
     leaves = leaves.where("_low <> _high").select("_leaf", "_head")  # a leaf of one document holds nothing that recurs
 
     shared = lines.join(leaves, "_leaf")
-    near = 100 * agreement(F.col("_mask"), F.col("_head")) >= similar_percent * F.col("_count")
+    heads = shared.where(place == F.col("_head")).groupBy("_leaf").agg(F.min("_mask").alias("_head_mask"))
+    shared = shared.join(heads, "_leaf")
+    near = 100 * agreement(F.col("_mask"), F.col("_head_mask")) >= similar_percent * F.col("_count")
     shared = shared.withColumn("_template", F.when(near, F.xxhash64("_leaf")).otherwise(F.xxhash64("_leaf", "_mask"))).select("_id", "_hash", "_pos", "_template")
     templates = shared.select("_template", "_id").distinct().groupBy("_template").agg(F.count(F.lit(1)).alias("_docs"), F.min(docs_of).alias("_first"))
     templates = templates.where(F.col("_docs") >= least_docs).select("_template", F.col("_first")["_id"].alias("_first"))

@@ -55,7 +55,43 @@ def op3(table):
     return quality_rules(table("documents"))
 
 
-@query("op4_suffix_dedup")
+STRING_SQL = """
+with t as (select doc_id, hex(encode(coalesce(text, ''))) h from documents),
+ b as (select doc_id, unnest(range(len(h) // 2)) i, unnest(list_transform(range(len(h) // 2), lambda i: substr(h, 2 * i + 1, 2))) b,
+  unnest(list_transform(range(len(h) // 2), lambda i: case when 2 * i + 200 <= len(h) then md5(substr(h, 2 * i + 1, 200)) end)) k from t where h <> ''),
+ f as (select *, k is not null and row_number() over (partition by k order by doc_id, i) > 1 again from b),
+ c as (select doc_id, i, b, coalesce(max(cast(again as int)) over (partition by doc_id order by i rows between 99 preceding and current row), 0) gone from f),
+ e as (select *, gone = 1 and coalesce(lag(gone) over (partition by doc_id order by i), 0) = 0 opens from c)
+select t.doc_id, len(t.h) // 2 n_bytes, coalesce(sum(e.gone), 0) n_removed, count(case when e.opens then 1 end) n_spans,
+ sha256(unhex(coalesce(string_agg(case when e.gone = 0 then e.b end, '' order by e.i), ''))) kept_sha256
+from t left join e on e.doc_id = t.doc_id group by t.doc_id, t.h
+"""
+
+WINDOW_SQL = """
+with t as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') w from documents),
+ b as (select doc_id, unnest(range(len(w))) i, unnest(w) word,
+  unnest(list_transform(range(len(w)), lambda i: case when i + 50 <= len(w) then md5(array_to_string(w[i + 1:i + 50], ' ')) end)) k from t where len(w) > 0),
+ f as (select *, k is not null and doc_id > min(doc_id) over (partition by k) again from b),
+ c as (select doc_id, i, word, coalesce(max(cast(again as int)) over (partition by doc_id order by i rows between 49 preceding and current row), 0) gone from f)
+select t.doc_id, len(t.w) n_words, coalesce(sum(c.gone), 0) n_removed, sha256(coalesce(string_agg(case when c.gone = 0 then c.word end, ' ' order by c.i), '')) kept_sha256
+from t left join c on c.doc_id = t.doc_id group by t.doc_id, len(t.w)
+"""
+
+NEAR_SQL = """
+with recursive t as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') w from documents),
+ s as (select distinct doc_id, unnest(case when len(w) < 3 then [array_to_string(w, ' ')] else list_transform(range(len(w) - 2), lambda i: array_to_string(w[i + 1:i + 3], ' ')) end) x
+  from t where len(w) > 0),
+ n as (select doc_id, count(*) n from s group by doc_id),
+ p as (select a.doc_id a, b.doc_id b, count(*) m from s a join s b on a.x = b.x and a.doc_id < b.doc_id group by 1, 2),
+ e as (select p.a, p.b from p join n x on x.doc_id = p.a join n y on y.doc_id = p.b where 100 * m >= 85 * (x.n + y.n - m)),
+ g as (select a, b from e union all select b, a from e),
+ r as (select doc_id, doc_id c from t union select g.b, r.c from r join g on g.a = r.doc_id),
+ m as (select doc_id, min(c) c from r group by doc_id)
+select m.doc_id, coalesce(n.n, 0) n_shingles, m.c component_id, m.doc_id = m.c kept from m left join n on n.doc_id = m.doc_id
+"""
+
+
+@query("op4_suffix_dedup", STRING_SQL)
 def op4(table):
     return dedup_strings(table("documents"), width=100)
 
@@ -70,12 +106,12 @@ def op6(table):
     return perplexity_filter(table("documents"), table("labels"))
 
 
-@query("op7_block_dedup")
+@query("op7_block_dedup", WINDOW_SQL)
 def op7(table):
     return dedup_windows(table("documents"), window=50)
 
 
-@query("op8_minhash")
+@query("op8_minhash", NEAR_SQL)
 def op8(table):
     return near_duplicates(table("documents"), width=3, percent=85)
 
