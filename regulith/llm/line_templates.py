@@ -15,8 +15,12 @@ SPACE = "[\\x20\\x09-\\x0D]+"
 
 
 def masked(line: Column) -> Column:
-    """Tokens joined by one space, runs of digits replaced by a mark."""
-    return F.regexp_replace(F.trim(F.regexp_replace(line, SPACE, " ")), "[0-9]+", "<*>")
+    """Tokens joined by one space, runs of digits replaced by a mark. Patterns run only over lines that need them."""
+    odd = line.contains("  ") | line.startswith(" ") | line.endswith(" ")
+    for c in "\t\x0b\x0c\r":
+        odd = odd | line.contains(c)
+    plain = F.when(odd, F.trim(F.regexp_replace(line, SPACE, " "))).otherwise(line)
+    return F.when(line.rlike("[0-9]"), F.regexp_replace(plain, "[0-9]+", "<*>")).otherwise(plain)
 
 
 def agreement(one: Column, other: Column) -> Column:
@@ -48,7 +52,7 @@ def drop_recurring_lines(
     key, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
     lines = docs.select(key.alias("_id"), F.xxhash64(text).alias("_hash"), F.posexplode(F.split(text, "\n", -1)).alias("_pos", "_line"))
     lines = lines.select("_id", "_hash", "_pos", masked(F.col("_line")).alias("_mask")).where("_mask <> ''")
-    count = F.length("_mask") - F.length(F.translate("_mask", " ", "")) + 1
+    count = F.length("_mask") - F.length(F.replace("_mask", F.lit(" "), F.lit(""))) + 1
     lines = lines.withColumn("_count", count).withColumn("_leaf", F.xxhash64("_count", F.substring_index("_mask", " ", depth)))
 
     place = F.struct(F.col("_id").isNull(), F.col("_id"), F.col("_pos"), F.col("_hash"))
