@@ -3,7 +3,8 @@
 A line goes down the tree by its number of tokens and its leading tokens, digits masked, to a leaf. The leaf's first line
 (by document and place) is its template; lines that agree with it on enough tokens belong to it, the tokens that differ
 being its variable fields. Other lines of the leaf are templates of their own, with digits as variable fields. Templates
-found in several documents recur: their lines are dropped, except in the document of smallest id.
+found in several documents recur: their lines are dropped, except in the document of smallest id. Tokens are compared by
+16 bits of a hash, which takes two different tokens for equal once in 65,536 times.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from regulith.llm.graphs import Scratch
+
 SPACE = "[\\x20\\x09-\\x0D]+"
 
 
@@ -23,10 +26,14 @@ def masked(line: Column) -> Column:
     return F.when(line.rlike("[0-9]"), F.regexp_replace(plain, "[0-9]+", "<*>")).otherwise(plain)
 
 
+def marks(line: Column) -> Column:
+    """Sixteen bits of the hash of each token: what two lines are compared by, so that their text need not move."""
+    return F.transform(F.split(line, " "), lambda t: (F.pmod(F.xxhash64(t), F.lit(1 << 16)) - (1 << 15)).cast("smallint"))
+
+
 def agreement(one: Column, other: Column) -> Column:
-    """Number of equal tokens of two masked lines with as many tokens."""
-    equal = F.zip_with(F.split(one, " "), F.split(other, " "), lambda a, b: (a == b).cast("int"))
-    return F.aggregate(equal, F.lit(0), lambda total, x: total + x)
+    """Number of equal tokens, place by place."""
+    return F.aggregate(F.zip_with(one, other, lambda a, b: (a == b).cast("int")), F.lit(0), lambda total, x: total + x)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
@@ -53,18 +60,19 @@ def drop_recurring_lines(
     lines = docs.select(key.alias("_id"), F.xxhash64(text).alias("_hash"), F.posexplode(F.split(text, "\n", -1)).alias("_pos", "_line"))
     lines = lines.select("_id", "_hash", "_pos", masked(F.col("_line")).alias("_mask")).where("_mask <> ''")
     count = F.length("_mask") - F.length(F.replace("_mask", F.lit(" "), F.lit(""))) + 1
-    lines = lines.withColumn("_count", count).withColumn("_leaf", F.xxhash64("_count", F.substring_index("_mask", " ", depth)))
+    lines = lines.select(
+        "_id", "_hash", "_pos", F.xxhash64("_mask").alias("_own"), marks(F.col("_mask")).alias("_marks"),
+        F.xxhash64(count, F.substring_index("_mask", " ", depth)).alias("_leaf"))
 
     place = F.struct(F.col("_id").isNull(), F.col("_id"), F.col("_pos"), F.col("_hash"))
     docs_of = F.struct(F.col("_id").isNull(), F.col("_id"))
-    leaves = lines.groupBy("_leaf").agg(F.min(place).alias("_head"), F.min(docs_of).alias("_low"), F.max(docs_of).alias("_high"))
+    leaves = lines.groupBy("_leaf").agg(F.min_by("_marks", place).alias("_head"), F.min(docs_of).alias("_low"), F.max(docs_of).alias("_high"))
     leaves = leaves.where("_low <> _high").select("_leaf", "_head")  # a leaf of one document holds nothing that recurs
 
     shared = lines.join(leaves, "_leaf")
-    heads = shared.where(place == F.col("_head")).groupBy("_leaf").agg(F.min("_mask").alias("_head_mask"))
-    shared = shared.join(heads, "_leaf")
-    near = 100 * agreement(F.col("_mask"), F.col("_head_mask")) >= similar_percent * F.col("_count")
-    shared = shared.withColumn("_template", F.when(near, F.xxhash64("_leaf")).otherwise(F.xxhash64("_leaf", "_mask"))).select("_id", "_hash", "_pos", "_template")
+    near = 100 * agreement(F.col("_marks"), F.col("_head")) >= similar_percent * F.size("_marks")
+    shared = shared.withColumn("_template", F.when(near, F.xxhash64("_leaf")).otherwise(F.xxhash64("_leaf", "_own"))).select("_id", "_hash", "_pos", "_template")
+    shared, _ = Scratch(docs.sparkSession).keep(shared, "lines")  # four numbers a line, for leaves of several documents
     templates = shared.select("_template", "_id").distinct().groupBy("_template").agg(F.count(F.lit(1)).alias("_docs"), F.min(docs_of).alias("_first"))
     templates = templates.where(F.col("_docs") >= least_docs).select("_template", F.col("_first")["_id"].alias("_first"))
     dropped = shared.join(templates, "_template").where(~F.col("_id").eqNullSafe(F.col("_first")))
