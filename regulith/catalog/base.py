@@ -39,6 +39,10 @@ class Views:
     def __call__(self, name: str) -> DataFrame:
         return adapters.view(self.spark, self.dir, name)
 
+    def dealt(self, name: str) -> DataFrame:
+        """A view whose rows are dealt to all cores: the test tables are files of one row group, which one task would read."""
+        return self(name).repartition(self.spark.sparkContext.defaultParallelism)
+
 
 def plain(df: DataFrame) -> DataFrame:
     """Columns in types that both engines print alike."""

@@ -60,7 +60,7 @@ def _(v):
 def _(v):
     base = v("citation_base")
     table = base.select("citation_id", F.lit(None).cast("string").alias("superseded_by"))
-    return m.mark_superseded(table, w.superseded_map(base, ["checksum"]))
+    return m.mark_superseded(table, w.superseded_map(base, ["checksum"], ties=["doc_id"]))
 
 
 @query("m5_delete_where", "select citation_id from citation_base where not (province = 'guangdong' and citation_id in (select citation_id from citation_base where asset = 'wind'))")

@@ -29,7 +29,7 @@ ENTITIES = "(select citation_id, doc_id, province, content, " + ", ".join(f"{cod
 
 @query("x11_entities", "select citation_id, " + ", ".join(f"<<a:{n}>> {n}" for n in terms.LEVELS) + f" from {ENTITIES}")
 def _(v):
-    return o.entities(v("citation_zh_v")).select("citation_id", *o.LEVEL_COLUMNS)
+    return o.entities(v.dealt("citation_zh_v")).select("citation_id", *o.LEVEL_COLUMNS)
 
 
 COUNTS = {c: f"len(regexp_extract_all(lower(content), '{p}'))" for c, p in terms.JURISDICTION_PATTERNS.items()}
@@ -87,12 +87,12 @@ def map_sql(jurisdiction: str) -> str:
 
 @query("x14_ontology_map", f"""with {map_sql(JURISDICTION)} select citation_id, "rank", concat_ws(' → ', jurisdiction, market_code, asset_type, lifecycle, requirement_type, parameter_type) path, <<r:overall>> overall_confidence from mapped""")
 def _(v):
-    return o.ontology_map(v("citation_zh_v"), thresholds=LOW).select("citation_id", "rank", "path", "overall_confidence")
+    return o.ontology_map(v.dealt("citation_zh_v"), thresholds=LOW).select("citation_id", "rank", "path", "overall_confidence")
 
 
 @query("x14_ontology_map_default")
 def _(v):
-    return o.ontology_map(v("citation_zh_v")).select("citation_id", "rank", "path", "overall_confidence")
+    return o.ontology_map(v.dealt("citation_zh_v")).select("citation_id", "rank", "path", "overall_confidence")
 
 
 @query("x15_market_code", f"select citation_id, {MARKET} market_code from citation_zh_v")

@@ -66,7 +66,7 @@ def _(v):
 
 @query("w10_superseded_map", """select citation_id old_id, new_id from (select *, first_value(citation_id) over (partition by checksum order by effective_date desc, doc_id desc) new_id from citation_base) where citation_id <> new_id""")
 def _(v):
-    return w.superseded_map(v("citation_base"), ["checksum"])
+    return w.superseded_map(v("citation_base"), ["checksum"], ties=["doc_id"])
 
 
 @query("k1_latest_citations", "select citation_id, <<d:effective_date>> effective_date from citation_base order by effective_date desc, citation_id limit 25")

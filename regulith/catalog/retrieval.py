@@ -9,7 +9,7 @@ from regulith.session import materialise
 
 def stored(v, *names: str):
     """The named views as written tables: search reads its tables several times, like the stored ones it is meant for."""
-    return [materialise(v(n), n) for n in names]
+    return [materialise(v.dealt(n), n) for n in names]
 
 
 SCORED = """(select q.question_id, c.citation_id, round(list_cosine_similarity(q.embedding::double[], c.embedding::double[]), 12) vscore

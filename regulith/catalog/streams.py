@@ -92,7 +92,7 @@ def _(v):
 def _(v):
     docs = runner.file_stream(v.spark, v.dir, "documents.parquet", v("documents").schema)
     to_chunks = lambda batch: chunking.chunk_document(chunking.with_paragraphs(batch.select("doc_id", "text")), 200, 40, 10)
-    out = runner.ingest_stream(docs, to_chunks, scratch_path(v.spark, "ingest"), ["chunk_id"], ["doc_id", "pos", "content", "token_count", "clause_type"], AS_OF)
+    out = runner.ingest_stream(docs, to_chunks, scratch_path(v.spark, "ingest"), ["chunk_id"], ["doc_id", "pos", "content", "token_count", "clause_type"], AS_OF, order="content", owner="doc_id")
     return out.select("chunk_id", "doc_id", "pos", "token_count", "clause_type", "change")
 
 

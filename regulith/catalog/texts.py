@@ -29,7 +29,7 @@ def layout_docs(v):
     cell = lambda s, t: F.struct(F.struct(anchor(F.lit(s), F.lit(t)).alias("text_anchor")).alias("layout"))
     row = lambda *cells: F.struct(F.array(*cells).alias("cells"))
     table = F.struct(F.array(row(cell(0, 4), cell(4, 9))).alias("header_rows"), F.array(row(cell(9, 15))).alias("body_rows"))
-    docs = v("citation_zh_v").select("doc_id", "url", "province", "doc_class", "title", F.col("content").alias("text")).withColumn("_e", ends)
+    docs = v.dealt("citation_zh_v").select("doc_id", "url", "province", "doc_class", "title", F.col("content").alias("text")).withColumn("_e", ends)
     page = F.struct(F.when(F.col("doc_id") % 3 != 0, blocks).alias("blocks"), F.array(table).alias("tables"))
     return docs.withColumn("pages", F.array(page)).drop("_e")
 
@@ -46,7 +46,7 @@ def _(v):
 
 @query("x4b_chunk_text")
 def _(v):
-    return c.chunk_text(v("documents"), 200)
+    return c.chunk_text(v.dealt("documents"), 200)
 
 
 SPLIT = f"(select doc_id, pos + 1 ordinal, title || ' - 第' || (pos + 1) || '部分' title, {strip_sql('part')} content from (select doc_id, title, unnest(string_split(content, chr(10) || chr(10))) part, unnest(range(0, len(string_split(content, chr(10) || chr(10))))) pos from citation_zh_v) where length({strip_sql('part')}) > 0)"
@@ -98,7 +98,7 @@ def _(v):
 
 
 def _dated(v):
-    return v("citation_zh_v").select("doc_id", F.col("content").alias("text"), "url")
+    return v.dealt("citation_zh_v").select("doc_id", F.col("content").alias("text"), "url")
 
 
 @query("x8_effective_date")

@@ -15,14 +15,26 @@ from regulith.plans import web
 ASOF = dt.date(2026, 1, 1)
 
 
-@query("x23_online_rank", f"""select question_id, "rank", url, <<r:score>> score, substr(q, 1, 220) quote, substr(q, 1, 140) snippet from (select *, row_number() over (partition by question_id order by score desc, url) "rank" from (select question_id, url,
- {online_sql('lower(t)', 'question', 'doc_class', 'province', 'asset')} score, array_to_string(list_filter(list_transform(regexp_split_to_array(t, '[。\\n]'), lambda x: {strip_sql('x')}), lambda x: length(x) > 0)[1:2], '；') q
- from (select *, {NO_SCRIPT} t from search_hit_v where position <= 8))) where "rank" <= 3""")
+def rank_sql(where: str = "") -> str:
+    quote = f"array_to_string(list_filter(list_transform(regexp_split_to_array(t, '[。\\n]'), lambda x: {strip_sql('x')}), lambda x: length(x) > 0)[1:2], '；')"
+    score = online_sql("lower(t)", "question", "doc_class", "province", "asset")
+    return f"""select question_id, "rank", url, <<r:score>> score, substr(q, 1, 220) quote, substr(q, 1, 140) snippet
+ from (select *, row_number() over (partition by question_id order by score desc, url) "rank" from (select question_id, url, {score} score, {quote} q
+ from (select *, {NO_SCRIPT} t from search_hit_v {where}))) where "rank" <= 3"""
+
+
+@query("x23_online_rank", rank_sql())
 def _(v):
     return web.online_rank(v("search_hit_v"))
 
 
-@query("x23_online_answers")
+@query("x23_online_rank_first8", rank_sql("where position <= 8"))
+def _(v):
+    return web.online_rank(v("search_hit_v"), max_candidates=8)
+
+
+@query("x23_online_answers", f"""select question_id, case when length(a) > 0 then a else '（见引用条款）' end answer_zh from (select question_id,
+ coalesce(string_agg(quote, '；' order by "rank") filter (length(quote) > 0), '') a from ({rank_sql()}) group by question_id)""")
 def _(v):
     return web.online_answers(web.online_rank(v("search_hit_v")))
 

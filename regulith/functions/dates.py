@@ -159,9 +159,9 @@ def _place(top: Column, read, rank: Column):
         m["at"].alias("at"), rank.alias("rank"), read(m["m"]).alias("d"), around(top, m, 50).rlike(EXCLUDE).alias("excluded"))
 
 
-def first_date(text: Column, as_of: dt.date, head: int = 1000) -> Column:
-    """Tier 4: the earliest date near the start of the text that no excluding phrase surrounds."""
-    top = F.substring(text, 1, head)
+def first_date(text: Column, as_of: dt.date, head: int | None = None) -> Column:
+    """Tier 4: the earliest date of the text, or of its first ``head`` characters, that no excluding phrase surrounds."""
+    top = text if head is None else F.substring(text, 1, head)
     candidates = []
     for i, p in enumerate(DATE_PATTERNS):
         read, rank = _reader(i), F.lit(i)

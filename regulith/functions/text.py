@@ -210,9 +210,17 @@ def fingerprint(province, asset, doc_class, question, variant: str = "raw") -> C
     raise ValueError(f"unknown fingerprint variant: {variant}")
 
 
+HAN = r"\u4e00-\u9fff"
+
+
 def simple_tokens(c: Column | str) -> Column:
-    """Lower-cased runs of letters, digits and underscore."""
-    return F.regexp_extract_all(F.lower(col(c)), F.lit(f"({WORD})"), 1)
+    """Lower-cased runs of letters, digits and underscore; runs of Chinese characters give their pairs (one alone stays)."""
+    text = F.lower(col(c))
+    other = rf"(?:(?![{HAN}])[\p{{L}}\p{{N}}_])"
+    apart = F.regexp_replace(text, rf"(?<=[{HAN}])(?={other})|(?<={other})(?=[{HAN}])", " ")
+    pairs = F.regexp_replace(apart, rf"([{HAN}])(?=([{HAN}]))", "$1$2 ")
+    pairs = F.regexp_replace(pairs, rf"(?<=[{HAN}]{{2}} )[{HAN}](?![{HAN}])", " ")
+    return F.regexp_extract_all(F.when(text.rlike(f"[{HAN}]"), pairs).otherwise(text), F.lit(f"({WORD})"), 1)
 
 
 def parameter_values(c: Column | str) -> Column:

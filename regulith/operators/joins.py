@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from regulith.functions.scoring import any_of
 from regulith.functions.text import simple_tokens
-from regulith.session import broadcast_if_small, col, spread
+from regulith.session import col
 from regulith.sources import vocab
 
 
@@ -122,50 +122,43 @@ def with_labels(df: DataFrame, labels: dict[str, dict[str, str]]) -> DataFrame:
 SHINGLE = 3
 
 
-def contained_in(clauses: DataFrame, docs: DataFrame, clause_id: str, clause_col: str, doc_id: str, text_col: str,
-                 max_short: int = 10_000) -> DataFrame:
-    """Pairs (clause, document) where the document contains the clause verbatim.
+def _token_keys(tokens: Column) -> Column:
+    """Hashes of every run of three tokens, or of every token if there are fewer."""
+    last = F.size(tokens) - (SHINGLE - 1)
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(tokens, i, SHINGLE), " ")))
+    return F.when(last >= 1, runs).otherwise(F.transform(tokens, lambda t: F.xxhash64(F.lit(1), t)))
 
-    A contained clause has all its inner tokens in the document as whole tokens, in order. Its first
-    inner shingle is therefore an equality key: documents are looked up by shingle, then verified.
-    Clauses too short for a shingle use an inner token, and the few without one are matched by a scan.
-    """
-    docs = spread(docs.select(doc_id, text_col))
 
-    def probes(df, id_col, text, inner):
-        tokens = simple_tokens(F.col(text))
-        inner_tokens = F.slice(tokens, 2, F.greatest(F.size(tokens) - 2, F.lit(0))) if inner else tokens
-        return df.select(id_col, inner_tokens.alias("_t"))
+def contained_in(clauses: DataFrame, docs: DataFrame, clause_id: str, clause_col: str, doc_id: str, text_col: str) -> DataFrame:
+    """Pairs (clause, document) where the document contains the clause verbatim.
 
-    shingle = lambda tokens, at: F.xxhash64(F.array_join(F.slice(tokens, at, SHINGLE), " "))
-    keyed = probes(clauses, clause_id, clause_col, True).withColumn(
-        "_key",
-        F.when(F.size("_t") >= SHINGLE, shingle("_t", 1)).when(F.size("_t") > 0, F.xxhash64(F.lit(1), F.element_at("_t", 1))),
-    )
-    keys = keyed.filter("_key is not null").select(clause_id, "_key")
-    wanted = broadcast_if_small(keys.select("_key").distinct(), 1_000_000)
-    doc_tokens = probes(docs, doc_id, text_col, False)
+    A contained clause has all its inner tokens in the document as whole tokens, in order, so every run of three of them
+    is an equality key; the one found in fewest documents is looked up, and the pair verified. Clauses with one or two
+    inner tokens use these. Those without any are looked up by their first two characters (or only one) among the
+    distinct characters of documents' distinct words and marks. Empty clauses are contained in nothing.
+    """
+    texts = docs.select(F.col(doc_id).alias("_doc"), F.col(text_col).alias("_text"))
+    asked = clauses.select(F.col(clause_id).alias("_id"), F.col(clause_col).alias("_clause")).where("length(_clause) > 0").withColumn("_t", simple_tokens("_clause"))
+    inner = F.slice("_t", 2, F.greatest(F.size("_t") - 2, F.lit(0)))
+    keyed = asked.withColumn("_i", inner)
+    long = keyed.where(F.size("_i") > 0).select("_id", F.explode(F.array_distinct(_token_keys(F.col("_i")))).alias("_key"))
     singles = F.transform(F.array_distinct("_t"), lambda t: F.xxhash64(F.lit(1), t))
-    starts = F.sequence(F.lit(1), F.greatest(F.size("_t") - (SHINGLE - 1), F.lit(1)))
-    triples = F.transform(starts, lambda i: shingle("_t", i))
-    # The keys are longs, so repeats inside a document fall out by hashing before anything is shuffled.
-    doc_keys = doc_tokens.select(doc_id, F.explode(F.array_distinct(F.concat(singles, triples))).alias("_key")).join(wanted, "_key", "left_semi")
-    pairs = doc_keys.join(keys, "_key").select(clause_id, doc_id).distinct()
-    text_of = docs.select(doc_id, F.col(text_col).alias("_text"))
-    verified = (
-        pairs.join(clauses.select(clause_id, F.col(clause_col).alias("_clause")), clause_id).join(text_of, doc_id)
-        .filter(F.contains("_text", F.col("_clause"))).select(clause_id, doc_id)
-    )
-    short = keyed.filter("_key is null").select(clause_id).join(clauses.select(clause_id, clause_col), clause_id)
-    rows = short.limit(max_short + 1).collect()
-    if not rows:
-        return verified
-    if len(rows) > max_short:
-        raise ValueError("too many clauses without an inner token; match them against a token table instead")
-    literal = F.array(*[F.struct(F.lit(r[clause_id]).alias("c"), F.lit(r[clause_col]).alias("t")) for r in rows])
-    hits = F.filter(literal, lambda s: F.contains(F.col(text_col), s["t"]))
-    scanned = docs.select(doc_id, F.explode(hits).alias("_h")).select(F.col("_h.c").alias(clause_id), doc_id)
-    return verified.unionByName(scanned)
+    words = texts.select("_doc", simple_tokens("_text").alias("_t"))
+    found = words.select("_doc", F.explode(F.array_distinct(F.concat(singles, _token_keys(F.col("_t"))))).alias("_key"))
+    found = found.join(long.select("_key").distinct(), "_key", "left_semi")
+    spread_of = found.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
+    rarest = long.join(spread_of, "_key", "left").groupBy("_id").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_key")).alias("_m"))
+    pairs = rarest.where("_m.n > 0").select("_id", F.col("_m._key").alias("_key")).join(found, "_key").select("_id", "_doc")
+
+    short = keyed.where(F.size("_i") == 0).select("_id", F.substring("_clause", 1, 2).alias("_key"))
+    pieces = F.concat(F.array_distinct(F.regexp_extract_all("_text", F.lit(r"(\w+\W?)"), 1)), F.array_distinct(F.regexp_extract_all("_text", F.lit(r"(\W+\w?)"), 1)))
+    distinct = texts.select("_doc", F.explode(pieces).alias("_piece")).select("_doc", F.split("_piece", "").alias("_c"))
+    marks = F.concat(F.array_distinct("_c"), F.transform(F.sequence(F.lit(1), F.greatest(F.size("_c") - 1, F.lit(1))), lambda i: F.array_join(F.slice("_c", i, 2), "")))
+    seen = distinct.select("_doc", F.explode(F.array_distinct(marks)).alias("_key")).join(short.select("_key").distinct(), "_key", "left_semi").distinct()
+    pairs = pairs.union(short.join(seen, "_key").select("_id", "_doc"))
+
+    verified = pairs.join(asked.select("_id", "_clause"), "_id").join(texts, "_doc").where(F.contains("_text", F.col("_clause")))
+    return verified.select(F.col("_id").alias(clause_id), F.col("_doc").alias(doc_id)).distinct()
 
 
 def match_gold(answers: DataFrame, gold: DataFrame) -> DataFrame:

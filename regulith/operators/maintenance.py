@@ -27,12 +27,15 @@ def _merged(target: DataFrame, updates: DataFrame, keys: list[str], cols: list[s
 
 
 def upsert(target: DataFrame, updates: DataFrame, keys: list[str], cols: list[str], as_of: dt.datetime,
-           order: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Insert or update by key; the last writer inside the batch wins. Returns (table, counts).
+           order: str | list[str]) -> tuple[DataFrame, DataFrame]:
+    """Insert or update by key; of equal keys in the batch the row last by ``order`` wins. Returns (table, counts).
 
     Counts come from the same joined rows, per change.
     """
-    batch = latest_per_key(updates, keys, [F.col(order).desc()]) if order else updates
+    by = [order] if isinstance(order, str) else list(order)
+    if not by:
+        raise ValueError("name the columns that order the rows of a key")
+    batch = latest_per_key(updates, keys, [F.col(c).desc() for c in by])
     merged = _merged(target, batch, keys, cols, keep_old_on_null=False)
     merged = merged.withColumn("updated_at", F.when(F.col("change") != "kept", F.lit(as_of)).otherwise(
         F.col("updated_at") if "updated_at" in target.columns else F.lit(None).cast("timestamp")))
@@ -69,12 +72,14 @@ def delete_where(df: DataFrame, citation_ids: DataFrame | None = None, chunk_ids
     """Delete rows meeting all given criteria; without any criterion nothing may be deleted."""
     if citation_ids is None and chunk_ids is None and province is None:
         raise ValueError("name at least one criterion")
-    doomed = df.filter(F.col("province") == province) if province is not None else df
+    doomed = F.lit(True) if province is None else F.coalesce(F.col("province") == province, F.lit(False))
+    rows = df
     for name, keys in (("citation_id", citation_ids), ("chunk_id", chunk_ids)):
         if keys is not None:
-            doomed = doomed.join(keys.select(name), name, "left_semi")
-    key = [c for c in ("citation_id", "chunk_id") if c in df.columns]
-    return df.join(doomed.select(*key), key, "left_anti")
+            listed = keys.select(name).distinct().withColumn(f"_{name}_listed", F.lit(True))
+            rows = rows.join(listed, name, "left")  # a row without the id matches no list
+            doomed = doomed & F.coalesce(F.col(f"_{name}_listed"), F.lit(False))
+    return rows.filter(~doomed).select(*df.columns)
 
 
 def retry_failed(jobs: DataFrame, as_of: dt.datetime, hours: float = 24) -> DataFrame:
@@ -104,7 +109,8 @@ def cached_packs(questions: DataFrame, packs: DataFrame, as_of: dt.datetime, hou
     """Newest generated pack per fingerprint inside the time limit, looked up for each question."""
     usable = packs.filter((F.col("pack_status") == "generated") & (F.col("created_at") >= F.lit(as_of - dt.timedelta(hours=hours))))
     newest = latest_per_key(usable, ["query_fingerprint"], [F.col("created_at").desc(), F.col("pack_id").desc()])
-    return questions.join(newest.select("query_fingerprint", "pack_id", "created_at"), "query_fingerprint", "left")
+    held = [c for c in ("pack_id", "created_at", "answer_zh", "citation_ids") if c in packs.columns]
+    return questions.join(newest.select("query_fingerprint", *held), "query_fingerprint", "left")
 
 
 def append_new_snapshots(new: DataFrame, existing: DataFrame, key: str = "storage_key") -> tuple[DataFrame, DataFrame]:

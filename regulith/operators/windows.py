@@ -90,10 +90,13 @@ def first_match(c: Column | str, rules: dict[str, list[str]], default: str) -> C
     return out.otherwise(F.lit(default))
 
 
-def superseded_map(citations: DataFrame, identity: list[str]) -> DataFrame:
-    """(old, new) pairs: the newest effective citation replaces the others of the same identity."""
+def superseded_map(citations: DataFrame, identity: list[str], ties: list[str] = ()) -> DataFrame:
+    """(old, new) pairs: the newest effective citation replaces the others of the same identity.
+
+    Citations of one date are told apart by ``ties``, then by their id; the largest is the newest.
+    """
     newest = citations.groupBy(*identity).agg(
-        F.max(F.struct("effective_date", "doc_id", "citation_id")).alias("_m")
+        F.max(F.struct("effective_date", *ties, "citation_id")).alias("_m")
     ).select(*identity, F.col("_m.citation_id").alias("new_id"))
     joined = citations.select(*identity, F.col("citation_id").alias("old_id")).join(newest, identity)
     return joined.filter("old_id <> new_id").select("old_id", "new_id")
@@ -151,11 +154,12 @@ def best_match(pairs: DataFrame, key: str, score: str, tie: str, floor: float =
     return latest_per_key(pairs.filter(F.col(score) >= floor), [key], [F.col(score).desc(), F.col(tie)])
 
 
-def top_dates(hits: Column | str, k: int = 5) -> Column:
-    """Dates by confidence, ties in pattern and text order."""
+def top_dates(hits: Column | str, k: int | None = None) -> Column:
+    """Dates by confidence, ties in pattern and text order; the first k if asked for."""
     keyed = F.transform(col(hits), lambda h: F.struct(
         (-h["confidence"]).alias("s"), h["rank"].alias("rank"), h["at"].alias("at"), h["d"].alias("d"), h["context"].alias("context"), h["confidence"].alias("confidence")))
-    return F.slice(F.array_sort(keyed), 1, k)
+    ordered = F.array_sort(keyed)
+    return ordered if k is None else F.slice(ordered, 1, k)
 
 
 def domain_allowlist(registry: DataFrame, base: DataFrame) -> DataFrame:

@@ -90,5 +90,14 @@ def answer_batch(questions: DataFrame, citations: DataFrame, packs: DataFrame, a
         F.concat(F.lit("pack-"), "query_fingerprint", F.lit(f"-{int(as_of.timestamp())}")).alias("pack_id"), F.lit(as_of).alias("created_at"), "province", "asset",
         "doc_class", "query_fingerprint", ids.alias("citation_ids"), "answer_zh", F.lit("generated").alias("pack_status"))
     fresh = with_key.select("question_id", F.when(F.col("refusal_reason").isNull(), "ok").otherwise("refused").alias("verdict"), "refusal_reason", ids.alias("citation_ids"), F.lit(False).alias("from_cache"))
-    reused = cached.select("question_id", F.lit("ok").alias("verdict"), F.lit(None).cast("string").alias("refusal_reason"), F.array().cast("array<string>").alias("citation_ids"), F.lit(True).alias("from_cache"))
-    return AnswerTables(answers, new_packs, fresh.unionByName(reused).withColumn("created_at", F.lit(as_of)))
+    none = lambda name, kind: F.col(name) if name in packs.columns else F.lit(None).cast(kind)
+    stored_ids, stored_answer = F.coalesce(none("citation_ids", "array<string>"), F.array().cast("array<string>")), none("answer_zh", "string")
+    reused = cached.select("question_id", F.lit("ok").alias("verdict"), F.lit(None).cast("string").alias("refusal_reason"), stored_ids.alias("citation_ids"), F.lit(True).alias("from_cache"))
+    # A cached question is answered with what its pack holds.
+    blank = F.lit(None).cast("string")
+    detail = answers.schema["citations"].dataType.elementType
+    listed = F.transform(stored_ids, lambda i: F.struct(*[(i if f.name == "citation_id" else F.lit(None)).cast(f.dataType).alias(f.name) for f in detail.fields]))
+    again = cached.join(keyed.select("question_id", "province", "doc_class", "asset"), "question_id").select(
+        "question_id", "province", "doc_class", "asset", stored_answer.alias("answer_zh"), blank.alias("refusal_reason"), F.lit(0).alias("sections"),
+        F.size(stored_ids).alias("total_citations"), listed.alias("citations"))
+    return AnswerTables(answers.unionByName(again), new_packs, fresh.unionByName(reused).withColumn("created_at", F.lit(as_of)))

@@ -9,17 +9,16 @@ from pyspark.sql import functions as F
 
 from regulith.functions import dates as d
 from regulith.operators.windows import top_dates
-from regulith.session import spread
 
 
-def effective_date(docs: DataFrame, as_of: dt.date) -> DataFrame:
-    """Announced effect, then the URL, then issue or approval, then the first date of the text."""
+def effective_date(docs: DataFrame, as_of: dt.date, head: int | None = None) -> DataFrame:
+    """Announced effect, then the URL, then issue or approval, then the first date of the text (of its first ``head`` characters, if given)."""
     # Every rule for the text needs a year; texts without one skip them all after one test.
     text = F.when(F.col("text").rlike(r"20\d{2}"), F.col("text"))
-    dated = spread(docs).withColumn("_t", text)
+    dated = docs.withColumn("_t", text)
     text = F.col("_t")
     return dated.withColumn("effective_date", F.coalesce(
-        d.context_date(text, as_of), d.date_from_url("url", as_of), d.publication_date(text, as_of), d.first_date(text, as_of))).drop("_t")
+        d.context_date(text, as_of), d.date_from_url("url", as_of), d.publication_date(text, as_of), d.first_date(text, as_of, head))).drop("_t")
 
 
 def effective_date_simple(docs: DataFrame, as_of: dt.date) -> DataFrame:
@@ -39,7 +38,7 @@ def date_validation(docs: DataFrame, as_of: dt.date, keep: int = 5) -> DataFrame
     found = effective_date(docs, as_of).withColumn("_hits", d.date_hits("text", as_of))
     day = F.col("effective_date")
     valid = F.coalesce(d.reasonable(day, as_of), F.lit(False))
-    all_sorted = top_dates("_hits", 1_000_000)
+    all_sorted = top_dates("_hits")
     same = F.try_element_at(F.filter(all_sorted, lambda h: h["d"] == day), F.lit(1))
     note = (
         F.when(day.isNull(), "No effective date found").when(~valid, "Date is outside reasonable range")

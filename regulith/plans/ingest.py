@@ -6,9 +6,11 @@ import datetime as dt
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from regulith.functions.text import sha256_hex, stable_id
 from regulith.operators.maintenance import upsert
+from regulith.operators.windows import latest_per_key
 from regulith.plans.chunking import chunk_document, embed_prepare, with_paragraphs
 from regulith.plans.effective_dates import effective_date
 from regulith.plans.ontology import Thresholds, Vocabulary, enrich_citations
@@ -31,11 +33,12 @@ def ingest_batch(layout_docs: DataFrame, citations: DataFrame, as_of: dt.datetim
     """``layout_docs``: doc_id, url, title, province, doc_class, text, pages."""
     docs = effective_date(with_paragraphs(layout_docs), as_of.date())
     keyed = docs.withColumn("checksum", sha256_hex("text")).withColumn("citation_id", stable_id("url", "checksum"))
+    keyed = latest_per_key(keyed, ["citation_id"], [F.col("doc_id")])  # equal documents are one citation, told by the first
     # Citations, chunks and embedding input all start from these two tables.
     meta = materialise(keyed.select("doc_id", "citation_id", "province", "doc_class", "title", "url", "effective_date", "checksum", "paragraphs"), "documents")
     chunks = chunk_document(meta.select("doc_id", "paragraphs"), max_tokens, overlap, min_clause)
     chunks = materialise(chunks.join(meta.select("doc_id", "citation_id", "province", "doc_class"), "doc_id"), "chunks")
     enriched = enrich_citations(chunks, kb, thresholds).select("citation_id", "content", "asset")
-    rows = meta.drop("paragraphs", "doc_id").dropDuplicates(["citation_id"]).join(enriched, "citation_id")
-    merged, counts = upsert(citations, rows, ["citation_id"], CITATION_COLUMNS, as_of)
+    rows = meta.drop("paragraphs", "doc_id").join(enriched, "citation_id")
+    merged, counts = upsert(citations, rows, ["citation_id"], CITATION_COLUMNS, as_of, order="checksum")
     return IngestTables(merged, counts, chunks, embed_prepare(chunks))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from regulith.functions.scoring import edit_similarity, ontology_path, overall_confidence
 from regulith.operators.windows import topk_per_key
-from regulith.session import col, materialise, spread
+from regulith.session import col, materialise
 from regulith.sources import ontology_terms as terms
 
 LEVEL_COLUMNS = ["jurisdictions", "markets", "assets", "lifecycles", "requirements", "parameters"]
@@ -86,7 +86,7 @@ def _search(rows: Column, part: str) -> Column:
 
 
 def entities(docs: DataFrame, kb: Vocabulary = Vocabulary(), text_col: str = "content") -> DataFrame:
-    parts = with_parts(spread(docs).withColumn("_t", F.lower(F.col(text_col))))
+    parts = with_parts(docs.withColumn("_t", F.lower(F.col(text_col))))
     return parts.withColumns({name: entity_codes(kb.levels[name]) for name in LEVEL_COLUMNS}).drop("_t", "_ascii", "_wide")
 
 
@@ -164,7 +164,7 @@ def ontology_map(docs: DataFrame, kb: Vocabulary = Vocabulary(), thresholds: Thr
     kept until the limit and then ranked. A text without any entity gets one general mapping.
     """
     t = thresholds
-    text = spread(docs).select(key, *([F.col(known).alias("_known")] if known else []), F.lower(F.col(text_col)).alias("_t"))
+    text = docs.select(key, *([F.col(known).alias("_known")] if known else []), F.lower(F.col(text_col)).alias("_t"))
     found = with_parts(text).withColumns({**{name: entity_codes(kb.levels[name]) for name in LEVEL_COLUMNS}, "_w": _words(F.col("_t"))})
     where = F.col("_known") if known else jurisdiction_of(F.col("jurisdictions"), "_t", kb)
     any_entity = sum((F.size(c) for c in LEVEL_COLUMNS), F.lit(0)) > 0
@@ -201,8 +201,8 @@ def ontology_map(docs: DataFrame, kb: Vocabulary = Vocabulary(), thresholds: Thr
 
 
 def combined_text(chunks: DataFrame, key: str = "citation_id") -> DataFrame:
-    """Chunks of a citation joined in order: the text of one document."""
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "content")))
+    """Chunks of a citation joined in order: the text of one document. Equal documents, which share a citation, give it once."""
+    ordered = F.array_sort(F.collect_set(F.struct("pos", "content")))
     return chunks.groupBy(key).agg(F.array_join(F.transform(ordered, lambda x: x["content"]), "\n").alias("content"))
 
 

@@ -22,7 +22,7 @@ from regulith.operators.filters import active
 from regulith.operators.joins import merge_scores
 from regulith.operators.windows import topk_per_key
 from regulith.plans.vector_kernel import DIGITS, SCOPE, TopK, question_sets, strings, unit_rows
-from regulith.session import broadcast_if_small, materialise, spread
+from regulith.session import materialise
 
 HITS = "question_id bigint, citation_id string, vscore double"
 MAX_BROADCAST_QUESTIONS = 10_000
@@ -116,14 +116,14 @@ def term_statistics(terms: DataFrame, citations: DataFrame) -> DataFrame:
     One pass over the texts. Only asked terms leave the scan, already counted per partition.
     """
     wanted = terms.select("term").union(citations.sparkSession.createDataFrame([(MARK_DOCS,), (MARK_LENGTH,)], "term string")).distinct()
-    tokens = spread(citations.select("content")).select(simple_tokens("content").alias("t"))
+    tokens = citations.select("content").select(simple_tokens("content").alias("t"))
     entry = lambda name, n: F.struct(name.alias("term"), n.cast("long").alias("n"))
     rows = F.concat(
         F.transform(F.array_distinct("t"), lambda t: entry(t, F.lit(1))),
         F.array(entry(F.lit(MARK_DOCS), F.lit(1)), entry(F.lit(MARK_LENGTH), F.size("t"))),
     )
     counted = tokens.select(F.explode(rows).alias("r")).select("r.term", "r.n")
-    counted = counted.join(broadcast_if_small(wanted, 2_000_000), "term", "left_semi").groupBy("term").agg(F.sum("n").alias("df"))
+    counted = counted.join(wanted, "term", "left_semi").groupBy("term").agg(F.sum("n").alias("df"))
     return materialise(counted, "term-statistics")
 
 
@@ -133,15 +133,15 @@ def bm25(questions: DataFrame, pairs: DataFrame, citations: DataFrame, k1: float
     stats = term_statistics(terms, citations)
     n_docs = stats.filter(F.col("term") == MARK_DOCS).select("df").scalar()
     n_tokens = stats.filter(F.col("term") == MARK_LENGTH).select("df").scalar()
-    ids = broadcast_if_small(pairs.select("citation_id").distinct(), 2_000_000)
+    ids = pairs.select("citation_id").distinct()
     pool = citations.select("citation_id", "content").join(ids, "citation_id", "left_semi").select("citation_id", simple_tokens("content").alias("t"))
     tf = materialise(
         pool.select("citation_id", F.size("t").alias("len"), F.explode("t").alias("term"))
         .join(stats, "term").groupBy("citation_id", "len", "term", "df").agg(F.count("*").alias("tf")), "term-frequencies")
     # Where terms and frequencies are small the pairs stay in place: their terms are generated and
     # summed inside one task. Beyond the checked sizes both joins shuffle.
-    wanted = pairs.select("question_id", "citation_id").join(broadcast_if_small(terms, 1_000_000), "question_id")
-    tf = broadcast_if_small(tf, 1_000_000)
+    wanted = pairs.select("question_id", "citation_id").join(terms, "question_id")
+    tf = tf
     idf = F.log(F.lit(1.0) + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.lit(1 - b) + F.lit(b) * F.col("len") / (n_tokens / n_docs)
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + F.lit(k1) * norm)
@@ -161,8 +161,8 @@ def text_hits(questions: DataFrame, citations: DataFrame) -> DataFrame:
     known = terms.join(stats, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     rare = known.groupBy("question_id").agg(first, F.min("df").alias("df"), F.sort_array(F.collect_list("term")).alias("terms")).filter("df > 0")
     keys = questions.select("question_id", *SCOPE, *([c for c in ("asset",) if c in questions.columns])).join(rare, "question_id")
-    rare_terms = broadcast_if_small(keys.select("term").distinct(), 2_000_000)
-    cites = spread(citations.select("citation_id", *SCOPE, "asset", "content")).select("citation_id", *SCOPE, "asset", F.array_distinct(simple_tokens("content")).alias("t"))
+    rare_terms = keys.select("term").distinct()
+    cites = citations.select("citation_id", *SCOPE, "asset", "content").select("citation_id", *SCOPE, "asset", F.array_distinct(simple_tokens("content")).alias("t"))
     postings = cites.select("citation_id", *SCOPE, F.col("asset").alias("_asset"), F.explode("t").alias("term")).join(rare_terms, "term", "left_semi")
     pairs = postings.join(keys, ["term", *SCOPE])
     if "asset" in questions.columns:
@@ -228,4 +228,4 @@ def hybrid_search(questions: DataFrame, citations: DataFrame, alpha: float = 0.6
     """Top-k with all citation columns; the wide text is joined only to the rows that won."""
     top = hybrid_scores(questions, citations, alpha, pool, k, text_score, active_only)
     wide = citations.drop("embedding")
-    return wide.join(broadcast_if_small(top, 500_000), "citation_id")
+    return wide.join(top, "citation_id")

@@ -76,13 +76,14 @@ def verify_by_canonical(candidates: DataFrame, allow: DataFrame) -> DataFrame:
     return allow_domains(rows.withColumn("domain", urls.url_host("canonical_url")), allow)
 
 
-def online_rank(hits: DataFrame, k: int = 3, max_candidates: int = 8) -> DataFrame:
-    """Fetched pages of each question: extract text, score, keep the best, quote.
+def online_rank(hits: DataFrame, k: int = 3, max_candidates: int | None = None) -> DataFrame:
+    """Fetched pages of each question: extract text, score, keep the best, quote; only the first ``max_candidates`` if given.
 
     ``hits`` carries question_id, position, url, html and the scope of the question.
     """
     text = urls.strip_script_html("html")
-    rows = hits.filter(F.col("position") <= max_candidates).withColumn("_text", text)
+    near = hits if max_candidates is None else hits.filter(F.col("position") <= max_candidates)
+    rows = near.withColumn("_text", text)
     quoted = rows.select("question_id", "url", online_score("_text", "question", "doc_class", "province", "asset").alias("score"), quote_first("_text").alias("_q"))
     return top_scored(quoted, k).select("question_id", "rank", "url", "score", F.substring("_q", 1, 220).alias("quote"), F.substring("_q", 1, 140).alias("snippet"))
 

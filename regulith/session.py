@@ -79,25 +79,6 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bounded_count(df: DataFrame, limit: int) -> int:
-    """Row count, but never looking at more than ``limit + 1`` rows."""
-    return df.limit(limit + 1).count()
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast a side only after its size was checked; else leave the join to AQE."""
-    return F.broadcast(df) if bounded_count(df, max_rows) <= max_rows else df
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Give CPU-heavy work on a small input at least one partition per core.
-
-    A file of one row group is read by one task. On a large scan this does nothing.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
-
-
 def bind(value: Column, use) -> Column:
     """Evaluate a sub-expression once and use it several times inside one expression."""
     return F.element_at(F.transform(F.array(value), lambda x: use(x)), 1)

@@ -53,8 +53,6 @@ VIEWS: dict[str, str] = {
  from {conversations} where role = 'user'""",
     "question_vec": """select q.*, e.embedding from (select v.*, (select count(*) from {embeddings}) n_vec from {question_v} v) q
  join {embeddings} e on e.vec_id = q.conv_id % q.n_vec""",
-    "short_question_v": """select item_id * 1000 question_id, text question,
- """ + SCOPE.replace("{key}", "item_id") + """ from {benchmark}""",
     "sentence_v": """select item_id * 1000 + pos question_id, trim(s) question,
  """ + SCOPE.replace("{key}", "pos") + """ from <<sentences:{benchmark}>> where length(trim(s)) > 0""",
     "result_v": """select q.question_id, q.lang, q.j + 1 "rank", 1 - q.j / 20.0 score, c.citation_id, c.doc_id, c.title, c.url, c.effective_date, c.content, c.province, c.doc_class, c.asset,
@@ -94,7 +92,7 @@ VIEWS: dict[str, str] = {
  case o.o_orderstatus when 'F' then 'policy' when 'O' then 'price' else 'tender' end signal_type, lower(substr(o.o_orderpriority, 3)) priority,
  r.r_name province, c.c_mktsegment asset_type, cast(o.o_orderdate as date) published_date,
  case when c.c_custkey % 4 = 0 then null else cast(o.o_orderdate as date) + cast(c.c_custkey % 90 as int) end deadline_date,
- least(1.0, o.o_totalprice / 500000) impact_score, (o.o_orderkey % 100) / 100.0 relevance_score,
+ least(1e0, o.o_totalprice / 499979e0) impact_score, (o.o_orderkey % 100) / 100e0 relevance_score,
  <<array:c.c_mktsegment, o.o_orderstatus>> tags
  from {orders} o join {customer} c on o.o_custkey = c.c_custkey join {nation} n on c.c_nationkey = n.n_nationkey
  join {region} r on n.n_regionkey = r.r_regionkey""",
@@ -113,8 +111,8 @@ VIEWS: dict[str, str] = {
  case page_id % 3 when 0 then 'html' when 1 then 'pdf' else 'both' end fetch_method from {pages}""",
     "candidate_v": """select page_id candidate_id, url, lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)) domain,
  regexp_extract(html, '<title[^>]*>([^<]*)</title>', 1) title,
- (page_id % 100) / 100.0 confidence_score, case page_id % 3 when 0 then 'verified' when 1 then 'failed' else 'not_found' end verification_status,
- ((page_id * 7) % 100) / 100.0 verification_confidence, case when page_id % 9 = 0 then 404 else 200 end http_status,
+ (page_id % 100) / 100e0 confidence_score, case page_id % 3 when 0 then 'verified' when 1 then 'failed' else 'not_found' end verification_status,
+ ((page_id * 7) % 100) / 100e0 verification_confidence, case when page_id % 9 = 0 then 404 else 200 end http_status,
  """ + SCOPE.replace("{key}", "page_id") + """ from {pages}""",
     "allow_v": """select distinct concat(source, '.gov.cn') domain from {documents} union
  select distinct concat(regexp_extract(url, '([a-z-]+\\.example\\.(com|org))', 1)) domain from {pages} where regexp_extract(url, '([a-z-]+\\.example\\.(com|org))', 1) <> ''""",
@@ -134,14 +132,13 @@ VIEWS: dict[str, str] = {
  count(*) total_queries from {labels} group by 1, 2, 3""",
     "mapping_v": """select citation_id, """ + "province jurisdiction, doc_class market_code, coalesce(asset, 'general') asset_type, case when doc_id % 4 = 0 then 'operation' else 'general' end lifecycle,"
     + """ case when doc_id % 3 = 0 then 'technical' else 'general' end requirement_type, case when doc_id % 6 = 0 then 'capacity' end parameter_type,
- (doc_id % 11) / 10.0 jurisdiction_confidence, (doc_id % 7) / 7.0 market_confidence, (doc_id % 5) / 5.0 asset_confidence,
- (doc_id % 3) / 3.0 lifecycle_confidence, (doc_id % 2) / 2.0 requirement_confidence, case when doc_id % 6 = 0 then 0.9 else 0.0 end parameter_confidence
+ (doc_id % 11) / 10e0 jurisdiction_confidence, (doc_id % 7) / 7e0 market_confidence, (doc_id % 5) / 5e0 asset_confidence,
+ (doc_id % 3) / 3e0 lifecycle_confidence, (doc_id % 2) / 2e0 requirement_confidence, case when doc_id % 6 = 0 then 9e-1 else 0e0 end parameter_confidence
  from {citation_base} where doc_id % 13 <> 0""",
 }
 
 SPARK_SLOTS = [(r"<<sha:(.*?)>>", r"sha2(\1, 256)"), (r"<<array:(.*?)>>", r"array(\1)"),
                (r"<<explode:(\d+)>>", r"explode(sequence(0, \1 - 1))"), (r'"rank"', "rank"),
-               (r"<<explode:(\d+)>>", r"unnest(range(0, \1))"),
               (r"<<sentences:(.*?)>>", r"(select item_id, pos, s from \1 lateral view posexplode(split(text, '[.]')) x as pos, s)")]
 DUCK_SLOTS = [(r"<<sha:(.*?)>>", r"sha256(\1)"), (r"<<array:(.*?)>>", r"[\1]"),
               (r"<<explode:(\d+)>>", r"unnest(range(0, \1))"),

@@ -45,11 +45,12 @@ def run_update(stream: DataFrame, keys: list[str], label: str) -> DataFrame:
 
 
 def ingest_stream(stream: DataFrame, transform: Callable[[DataFrame], DataFrame], target: str, keys: list[str], cols: list[str],
-                  as_of: dt.datetime) -> DataFrame:
+                  as_of: dt.datetime, order: str | list[str], owner: str | None = None) -> DataFrame:
     """Documents arriving as files -> the same transforms as in batch -> upsert.
 
     Version n of the table is built from version n - 1 and batch n; a repeated batch rebuilds the same
-    version.
+    version. Of equal keys in a batch the row last by ``order`` wins. Rows of an ``owner`` that arrives again are replaced
+    as a whole, so a document that became shorter leaves no chunks behind.
     """
     spark = stream.sparkSession
 
@@ -59,7 +60,11 @@ def ingest_stream(stream: DataFrame, transform: Callable[[DataFrame], DataFrame]
             current = new.limit(0)
         else:
             current = spark.read.parquet(f"{target}/version={batch_id - 1}").select(*keys, *cols)
-        merged, _ = upsert(current, new, keys, cols, as_of)
+        if owner is not None:
+            again = batch.select(owner).distinct()
+            stale = current.join(again, owner, "left_semi").join(new.select(*keys), keys, "left_anti")
+            current = current.join(stale.select(*keys), keys, "left_anti")
+        merged, _ = upsert(current, new, keys, cols, as_of, order)
         merged.write.mode("overwrite").parquet(f"{target}/version={batch_id}")
 
     query = stream.writeStream.option("checkpointLocation", f"{target}-checkpoint").trigger(availableNow=True).foreachBatch(merge).start()
