@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from regulith.functions.text import strip
 from regulith.session import col
 
+# A date in Chinese characters.
 YMD = r"20\d{2}年\d{1,2}月\d{1,2}日"
 
 # Date patterns in priority order; digits read year, month, day from left to right.
@@ -26,6 +27,7 @@ DATE_PATTERNS = [
 ]
 YEAR_ONLY = 6  # index of the document-number pattern, which carries only a year
 ISSUED = 4  # index of the pattern naming an issue date
+# Announced effect, excluded contexts, publication, simple patterns, dates in URLs, words that raise or lower confidence.
 CONTEXT_PATTERNS = [
     "自.*?起(?:施行|执行|生效|实施)",
     "本(?:规则|办法|通知|公告|文件).*?起(?:施行|执行|生效|实施)",

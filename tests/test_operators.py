@@ -192,3 +192,77 @@ def test_session_stream(spark, tmp_path):
 def test_vocabulary_tables_agree():
     assert set(vocab.ASSET_ALIASES.values()) == set(vocab.ASSETS) and set(vocab.PROVINCE_ALIASES.values()) == set(vocab.PROVINCES)
     assert set(ontology_terms.LEVELS) == set(ontology.LEVEL_COLUMNS)
+
+
+def test_format_checks(spark):
+    from regulith.functions import checks
+
+    long = "a" * 63
+    cases = {
+        checks.is_domain: (["gov.cn", "a.b-c.example.com", f"{long}.org", "9x.io"], ["gov", "-a.com", "a-.com", "a..com", ".com", "a.c", "a.c1", "a b.com", f"{long}a.org", "", None]),
+        checks.is_url: (
+            ["http://gov.cn", "HTTPS://www.Example.com/a?b=c#d", "http://localhost:8080", "http://10.0.0.1/x", " http://a.cn/ ", "http://a.cn?q", "http://a.com."],
+            ["ftp://a.cn", "http://", "http://a", "http://a.cn:x/", "http://a.cn/a b", "http://a.toolong", "http://a.cn?", "a.cn", "http://1.2.3", "http://a.cn:", None]),
+        checks.is_cadence: (
+            ["P1D", "P2DT6H", "PT90M", "R/2025-01-01T00:00:00Z/P1D", "P1Y2M3DT4H5M6S", "P"],
+            ["1D", "P1H", "PD", "P1DT1D", "R/2025-01-01/P1D", "R/P1D", "x/2025-01-01T00:00:00Z/P1D", "P1D ", "", None]),
+    }
+    for check, (good, bad) in cases.items():
+        rows = spark.createDataFrame([(v,) for v in good + bad], "v string").select("v", check("v").alias("ok")).collect()
+        assert [r.v for r in rows if r.ok] == good
+
+
+def test_contained_in_without_word_borders(spark):
+    import random
+
+    rng = random.Random(1)
+    alphabet = "风电项目并网管理办法，。 ab c9"
+    docs = [(i, "".join(rng.choice(alphabet) for _ in range(60))) for i in range(30)]
+    clauses = []
+    for i in range(150):
+        text, n = rng.choice(docs)[1], rng.choice([1, 1, 2, 2, 3, 4, 5, 8, 15])
+        at = rng.randrange(60 - n)
+        clauses.append((i, text[at : at + n] + ("x" if i % 10 == 0 else "")))
+    clauses += [(150, ""), (151, None)]
+    out = joins.contained_in(spark.createDataFrame(clauses, "c int, t string"), spark.createDataFrame(docs, "d int, t string"), "c", "t", "d", "t")
+    assert {(r.c, r.d) for r in out.collect()} == {(c, d) for c, t in clauses if t for d, x in docs if t in x}
+
+
+def test_chinese_pairs(spark):
+    from regulith.functions.text import simple_tokens
+
+    rows = spark.createDataFrame([("广东省ab50MW电 力并网",), ("Plain words_1",), (None,)], "t string").select(simple_tokens("t").alias("x")).collect()
+    assert [r.x for r in rows] == [["广东", "东省", "ab50mw", "电", "力并", "并网"], ["plain", "words_1"], None]
+
+
+def test_upsert_takes_the_last_of_equal_keys(spark):
+    old = spark.createDataFrame([("a", 1)], "k string, v int")
+    new = spark.createDataFrame([("a", 2, 1), ("a", 3, 2), ("b", 4, 1)], "k string, v int, seq int")
+    merged, _ = maintenance.upsert(old, new, ["k"], ["v"], NOW, order="seq")
+    assert {(r.k, r.v, r.change) for r in merged.collect()} == {("a", 3, "updated"), ("b", 4, "inserted")}
+    with pytest.raises(ValueError):
+        maintenance.upsert(old, new, ["k"], ["v"], NOW, order=[])
+
+
+def test_delete_reaches_rows_without_chunk(spark):
+    rows = spark.createDataFrame([("a", None, "x"), ("a", "1", "x"), ("b", None, "y"), (None, "1", None)], "citation_id string, chunk_id string, province string")
+    left = lambda df: sorted(str((r.citation_id, r.chunk_id)) for r in df.collect())
+    assert left(maintenance.delete_where(rows, province="x")) == left(rows.where("province is distinct from 'x'"))
+    ids = spark.createDataFrame([("a",), ("a",)], "citation_id string")
+    assert left(maintenance.delete_where(rows, citation_ids=ids)) == ["('b', None)", "(None, '1')"]
+    chunks = spark.createDataFrame([("1",)], "chunk_id string")
+    assert left(maintenance.delete_where(rows, citation_ids=ids, chunk_ids=chunks)) == ["('a', None)", "('b', None)", "(None, '1')"]
+
+
+def test_supersession_on_the_citation_schema(spark):
+    from regulith.operators.windows import superseded_map
+
+    rows = spark.createDataFrame([("c1", "u", "2020-01-01"), ("c2", "u", "2021-01-01"), ("c3", "v", "2021-01-01")], "citation_id string, url string, effective_date string")
+    assert [(r.old_id, r.new_id) for r in superseded_map(rows, ["url"]).collect()] == [("c1", "c2")]
+
+
+def test_equal_documents_give_their_text_once(spark):
+    from regulith.plans.ontology import combined_text
+
+    chunks = spark.createDataFrame([("c", 0, "one", 1), ("c", 1, "two", 1), ("c", 0, "one", 2), ("c", 1, "two", 2)], "citation_id string, pos int, content string, doc_id int")
+    assert [r.content for r in combined_text(chunks).collect()] == ["one\ntwo"]
