@@ -29,12 +29,20 @@ def _(v):
     return lookup(v("citation_base").select("citation_id", "checksum"), keys, "checksum")
 
 
-@query("s3_read_layout_json")
+@query("s3_read_layout_json", """select doc_id, url, length(content) n_chars, 1 n_pages, case when doc_id % 3 <> 0 then len(string_split(content, chr(10))) else 0 end n_blocks,
+ case when doc_id % 3 <> 0 then length(content) else 0 end last_end, 1 n_tables, 9 head_end from citation_zh_v""")
 def _(v):
+    from regulith.catalog.texts import layout_docs
+
     path = scratch_path(v.spark, "layout-json")
-    docs = v("documents").select("doc_id", F.col("source").alias("url"), "text")
-    io.write_json(docs, path)
-    return io.read_layout_json(v.spark, path, multi_line=False).select("doc_id", "url", F.length("text").alias("n_chars"), F.size("pages").alias("n_pages"))
+    io.write_json(layout_docs(v).select("doc_id", "url", "text", "pages"), path)
+    page = F.element_at("pages", 1)
+    ends = F.flatten(F.transform(page["blocks"], lambda b: F.transform(b["layout"]["text_anchor"]["text_segments"], lambda s: s["end_index"])))
+    cells = F.flatten(F.transform(F.element_at(page["tables"], 1)["header_rows"], lambda r: r["cells"]))
+    return io.read_layout_json(v.spark, path, multi_line=False).select(
+        "doc_id", "url", F.length("text").alias("n_chars"), F.size("pages").alias("n_pages"), F.coalesce(F.size(page["blocks"]), F.lit(0)).alias("n_blocks"),
+        F.coalesce(F.array_max(ends), F.lit(0)).alias("last_end"), F.size(page["tables"]).alias("n_tables"),
+        F.element_at(cells, -1)["layout"]["text_anchor"]["text_segments"][0]["end_index"].alias("head_end"))
 
 
 @query("s4_write_jsonl", "select doc_id, lang, text from documents")

@@ -109,15 +109,20 @@ def job_stats(jobs: DataFrame, as_of: dt.datetime, hours: float = 24) -> DataFra
 
 
 def pack_summary(rows: DataFrame) -> DataFrame:
-    """Per pack: distinct counts, date range, confidence and at most ten sources in order."""
-    stats = rows.groupBy("pack_id").agg(
-        F.count("*").alias("total_citations"), F.countDistinct("province").alias("unique_provinces"),
-        F.countDistinct("asset").alias("unique_assets"), F.countDistinct("doc_class").alias("unique_doc_classes"),
-        F.countDistinct("source_url").alias("unique_sources"), F.min("effective_date").alias("earliest"),
-        F.max("effective_date").alias("latest"), F.avg("confidence_score").alias("avg_confidence"),
-        F.min("confidence_score").alias("min_confidence"), F.max("confidence_score").alias("max_confidence"),
-    )
-    listed = topk_per_key(rows.select("pack_id", "source_url").filter("source_url is not null").distinct(), ["pack_id"], [F.col("source_url")], 10)
+    """Per pack: distinct counts, date range, confidence and at most ten sources in order.
+
+    One pass to the distinct sources of a pack, which carry the rest; scopes have small fixed domains, so their sets stay small.
+    """
+    scopes = ("province", "asset", "doc_class")
+    per_source = rows.groupBy("pack_id", "source_url").agg(
+        F.count("*").alias("n"), F.count("confidence_score").alias("scored"), F.sum("confidence_score").alias("sum"), F.min("confidence_score").alias("low"),
+        F.max("confidence_score").alias("high"), F.min("effective_date").alias("first"), F.max("effective_date").alias("last"), *[F.collect_set(c).alias(c) for c in scopes])
+    distinct = lambda c: F.size(F.array_distinct(F.flatten(F.collect_set(c))))
+    stats = per_source.groupBy("pack_id").agg(
+        F.sum("n").alias("total_citations"), distinct("province").alias("unique_provinces"), distinct("asset").alias("unique_assets"),
+        distinct("doc_class").alias("unique_doc_classes"), F.count("source_url").alias("unique_sources"), F.min("first").alias("earliest"), F.max("last").alias("latest"),
+        (F.sum("sum") / F.sum("scored")).alias("avg_confidence"), F.min("low").alias("min_confidence"), F.max("high").alias("max_confidence"))
+    listed = topk_per_key(per_source.select("pack_id", "source_url").filter("source_url is not null"), ["pack_id"], [F.col("source_url")], 10)
     sources = listed.groupBy("pack_id").agg(F.array_join(F.sort_array(F.collect_list("source_url")), ",").alias("sources"))
     return stats.join(sources, "pack_id", "left")
 
