@@ -41,7 +41,7 @@ def _(v):
 
 def _ingested(v):
     old = v("citation_base").select("citation_id", "province", "doc_class", "asset", "title", "url", "effective_date", "checksum", "content")
-    low = Thresholds(jurisdiction=0.1, market=0.05, asset=0.05, overall=0.05, fuzzy=None)
+    low = Thresholds(jurisdiction=0.1, market=0.05, asset=0.05, overall=0.05, fuzzy=None, per_level=2, max_mappings=5)
     return ingest.ingest_batch(layout_docs(v), old, AS_OF, thresholds=low, max_tokens=200, overlap=40, min_clause=10)
 
 

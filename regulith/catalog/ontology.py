@@ -12,7 +12,7 @@ from regulith.plans import chunking
 from regulith.plans import ontology as o
 from regulith.sources import ontology_terms as terms
 
-LOW = o.Thresholds(jurisdiction=0.1, market=0.05, asset=0.05, overall=0.05, fuzzy=None)
+LOW = o.Thresholds(jurisdiction=0.1, market=0.05, asset=0.05, overall=0.05, fuzzy=None, per_level=2, max_mappings=5)
 
 
 def codes_sql(level: dict[str, list[str]], t: str = "lower(content)") -> str:
@@ -82,7 +82,7 @@ def map_sql(jurisdiction: str) -> str:
   l.conf lifecycle_confidence, r.conf requirement_confidence, p.conf parameter_confidence, (((m.pos * 2 + a.pos) * 2 + l.pos) * 2 + r.pos) * 2 + p.pos seq from jc join m using (citation_id) join a using (citation_id) join l using (citation_id)
   join r using (citation_id) join p using (citation_id) where any_entity and jconf >= 0.1 and m.conf >= 0.05 and a.conf >= 0.05
   union all select citation_id, jurisdiction, market, 'general', 'general', 'general', null, 0.8, 0.4, 0.3, 0.3, 0.3, 0.0, 0 from jc where not any_entity),
- mapped as (select *, row_number() over (partition by citation_id order by overall desc, seq) "rank" from (select *, round({OVERALL}, 12) overall from combos where {OVERALL} >= 0.05 qualify row_number() over (partition by citation_id order by seq) <= 5))"""
+ mapped as (select *, row_number() over (partition by citation_id order by overall desc, seq) "rank" from (select *, round({OVERALL}, 12) overall from combos where {OVERALL} >= 0.05) qualify row_number() over (partition by citation_id order by overall desc, seq) <= 5)"""
 
 
 @query("x14_ontology_map", f"""with {map_sql(JURISDICTION)} select citation_id, "rank", concat_ws(' → ', jurisdiction, market_code, asset_type, lifecycle, requirement_type, parameter_type) path, <<r:overall>> overall_confidence from mapped""")

@@ -13,8 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from regulith.functions.scoring import edit_similarity, ontology_path, overall_confidence
-from regulith.operators.windows import topk_per_key
-from regulith.session import col, materialise
+from regulith.session import bind, col
 from regulith.sources import ontology_terms as terms
 
 LEVEL_COLUMNS = ["jurisdictions", "markets", "assets", "lifecycles", "requirements", "parameters"]
@@ -27,8 +26,8 @@ class Thresholds:
     asset: float = 0.5
     overall: float = 0.3
     fuzzy: float = 0.8
-    per_level: int = 2
-    max_mappings: int = 5
+    per_level: int | None = None  # codes tried per level, all by default
+    max_mappings: int | None = None  # best mappings kept per text, all by default
 
 
 @dataclass(frozen=True)
@@ -148,56 +147,62 @@ def keyword_confidence(docs: DataFrame, level: dict[str, list[str]], fuzzy: floa
     return prepared.select(*keep, *scores)
 
 
-def _scored_level(name: str, kb: Vocabulary, t: Thresholds, default: str | None) -> Column:
-    """The first codes of a level with their confidences, or the level's default."""
+def _scored_level(name: str, kb: Vocabulary, t: Thresholds, default: str | None, floor: float = 0.0) -> Column:
+    """Codes of a level with their confidences, or the level's default, from ``floor`` on."""
     filler = F.array(F.lit(default).cast("string"))
-    chosen = F.when(F.size(name) > 0, F.slice(F.col(name), 1, t.per_level)).otherwise(filler)
-    return F.transform(chosen, lambda code: F.struct(
+    codes = F.col(name) if t.per_level is None else F.slice(F.col(name), 1, t.per_level)
+    chosen = F.when(F.size(name) > 0, codes).otherwise(filler)
+    scored = F.transform(chosen, lambda code: F.struct(
         code.alias("code"), code_confidence(F.col("_t"), F.col("_w"), kb.levels[name], code, t.fuzzy).alias("conf")))
+    return F.filter(scored, lambda x: x["conf"] >= floor) if floor > 0 else scored
+
+
+CODES = ["market_code", "asset_type", "lifecycle", "requirement_type", "parameter_type"]
+CONFIDENCES = [f"{c}_confidence" for c in ("jurisdiction", "market", "asset", "lifecycle", "requirement", "parameter")]
+
+
+def _mapping(codes: list[Column], confidences: list[Column]) -> Column:
+    overall = F.round(overall_confidence(*confidences), 12)
+    return F.struct(*[c.cast("string").alias(n) for n, c in zip(CODES, codes)], *[c.cast("double").alias(n) for n, c in zip(CONFIDENCES, confidences)], overall.alias("overall_confidence"))
+
+
+def _combinations(s: Column) -> Column:
+    """One mapping for each choice of a code per level, in the order of the levels' codes."""
+    def choose(levels: list[str], taken: list[Column]) -> Column:
+        if not levels:
+            return F.array(_mapping([x["code"] for x in taken], [s["jurisdiction"], *[x["conf"] for x in taken]]))
+        return F.flatten(F.transform(s[levels[0]], lambda x: choose(levels[1:], [*taken, x])))
+
+    return choose(["m", "a", "l", "r", "p"], [])
 
 
 def ontology_map(docs: DataFrame, kb: Vocabulary = Vocabulary(), thresholds: Thresholds = Thresholds(), key: str = "citation_id",
                  text_col: str = "content", known: str | None = None) -> DataFrame:
-    """At most ``max_mappings`` mappings per text with six confidences.
+    """Mappings of each text above the thresholds with six confidences, best first.
 
-    Combinations of the first two codes per level are tried in order; those above the thresholds are
-    kept until the limit and then ranked. A text without any entity gets one general mapping.
+    All combinations of the codes found per level are built, ranked and, if ``max_mappings`` is given, cut while the text
+    is one row: nothing is shuffled or written. A text without any entity gets one general mapping.
     """
     t = thresholds
     text = docs.select(key, *([F.col(known).alias("_known")] if known else []), F.lower(F.col(text_col)).alias("_t"))
     found = with_parts(text).withColumns({**{name: entity_codes(kb.levels[name]) for name in LEVEL_COLUMNS}, "_w": _words(F.col("_t"))})
     where = F.col("_known") if known else jurisdiction_of(F.col("jurisdictions"), "_t", kb)
     any_entity = sum((F.size(c) for c in LEVEL_COLUMNS), F.lit(0)) > 0
-    base = found.withColumn("jurisdiction", where)
-    # The text ends here: codes and numbers are written once and read by both branches below.
-    slim = materialise(base.select(
-        key, "jurisdiction", any_entity.alias("_any"),
-        code_confidence(F.col("_t"), F.col("_w"), kb.levels["jurisdictions"], F.col("jurisdiction"), t.fuzzy).alias("jurisdiction_confidence"),
-        market_code("_t", kb).alias("_market"),
-        _scored_level("markets", kb, t, "grid_connection").alias("m"), _scored_level("assets", kb, t, "general").alias("a"),
+    levels = F.struct(
+        code_confidence(F.col("_t"), F.col("_w"), kb.levels["jurisdictions"], F.col("jurisdiction"), t.fuzzy).alias("jurisdiction"),
+        _scored_level("markets", kb, t, "grid_connection", t.market).alias("m"), _scored_level("assets", kb, t, "general", t.asset).alias("a"),
         _scored_level("lifecycles", kb, t, "general").alias("l"), _scored_level("requirements", kb, t, "general").alias("r"),
-        _scored_level("parameters", kb, t, None).alias("p"),
-    ), "ontology-codes")
-    rows = slim.filter("_any")
-    for name in ("m", "a", "l", "r", "p"):
-        rows = rows.select("*", F.posexplode(name).alias(f"{name}_at", f"{name}_x")).drop(name)
-    specific = rows.select(
-        key, "jurisdiction", F.col("m_x.code").alias("market_code"), F.col("a_x.code").alias("asset_type"), F.col("l_x.code").alias("lifecycle"),
-        F.col("r_x.code").alias("requirement_type"), F.col("p_x.code").alias("parameter_type"), "jurisdiction_confidence",
-        F.col("m_x.conf").alias("market_confidence"), F.col("a_x.conf").alias("asset_confidence"), F.col("l_x.conf").alias("lifecycle_confidence"),
-        F.col("r_x.conf").alias("requirement_confidence"), F.col("p_x.conf").alias("parameter_confidence"),
-        ((((F.col("m_at") * 2 + F.col("a_at")) * 2 + F.col("l_at")) * 2 + F.col("r_at")) * 2 + F.col("p_at")).alias("_order"),
-    ).filter((F.col("jurisdiction_confidence") >= t.jurisdiction) & (F.col("market_confidence") >= t.market) & (F.col("asset_confidence") >= t.asset))
-    general = slim.filter("not _any").select(
-        key, "jurisdiction", F.col("_market").alias("market_code"), *[F.lit("general").alias(c) for c in ("asset_type", "lifecycle", "requirement_type")],
-        F.lit(None).cast("string").alias("parameter_type"), F.lit(0.8).alias("jurisdiction_confidence"), F.lit(0.4).alias("market_confidence"),
-        *[F.lit(0.3).alias(f"{c}_confidence") for c in ("asset", "lifecycle", "requirement")], F.lit(0.0).alias("parameter_confidence"), F.lit(0).alias("_order"))
-    confidences = [f"{c}_confidence" for c in ("jurisdiction", "market", "asset", "lifecycle", "requirement", "parameter")]
-    both = specific.unionByName(general).withColumn("overall_confidence", F.round(overall_confidence(*confidences), 12)).filter(F.col("overall_confidence") >= t.overall)
-    first = topk_per_key(both, [key], [F.col("_order")], t.max_mappings, "_n").drop("_n")
-    ranked = topk_per_key(first, [key], [F.col("overall_confidence").desc(), F.col("_order")], t.max_mappings)
-    path = ontology_path("jurisdiction", "market_code", "asset_type", "lifecycle", "requirement_type", "parameter_type")
-    return ranked.withColumn("path", path).drop("_order")
+        _scored_level("parameters", kb, t, None).alias("p"))
+    none = F.lit(None).cast("string")
+    general = _mapping([market_code("_t", kb), *[F.lit("general")] * 3, none], [F.lit(x) for x in (0.8, 0.4, 0.3, 0.3, 0.3, 0.0)])
+    specific = bind(levels, lambda s: F.when(s["jurisdiction"] >= t.jurisdiction, _combinations(s)))
+    mappings = F.when(any_entity, specific).otherwise(F.array(general))
+    kept = F.filter(mappings, lambda x: x["overall_confidence"] >= t.overall)
+    ordered = F.array_sort(F.transform(kept, lambda x, i: F.struct((-x["overall_confidence"]).alias("s"), i.alias("i"), x.alias("v"))))
+    best = ordered if t.max_mappings is None else F.slice(ordered, 1, t.max_mappings)
+    rows = found.withColumn("jurisdiction", where).select(key, "jurisdiction", F.posexplode(best).alias("_at", "_x"))
+    rows = rows.select(key, "jurisdiction", *[F.col(f"_x.v.{c}").alias(c) for c in (*CODES, *CONFIDENCES, "overall_confidence")], (F.col("_at") + 1).alias("rank"))
+    return rows.withColumn("path", ontology_path("jurisdiction", *CODES))
 
 
 def combined_text(chunks: DataFrame, key: str = "citation_id") -> DataFrame:
