@@ -5,14 +5,14 @@ shifts and masks and every step of the model is a grouping or a join of narrow t
 stand zero bytes, so every byte has a full context.
 
 1. Documents and the ids of trusted ones meet in buckets by id, packed, once.
-2. Each bucket counts the grams of its trusted texts; their sums are the highest order. Lower orders count the different
+2. Each bucket lists its distinct grams and counts those of its trusted texts; the sums are the highest order. Lower orders count the different
    bytes in front of a gram. Three discounts per order come from the counts of counts.
-3. Each bucket asks for its distinct grams. The probability of each gram that anybody asks for is put together from the
-   orders by joins on gram, context and suffix.
+3. The probability of each gram in any list is put together from the orders by joins on gram, context and
+   suffix.
 4. The answers return to the buckets, which score whole texts.
 5. Documents above their language's quantile of the perplexities of trusted text that did not train are rejected.
 
-What is gathered, the counts of step 2 and the grams of step 3, comes from every bucket and grows with the corpus.
+What is gathered, the lists and counts of step 2, comes from every bucket and grows with the corpus.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
@@ -115,36 +116,29 @@ def merged(pieces: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return distinct, np.bincount(group, counts, minlength=len(distinct)).astype(np.int64)
 
 
-def trusted_counts(parts: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.RecordBatch]:
+def bucket_grams(parts: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.RecordBatch]:
+    """(bucket, g, c): distinct grams of a bucket's texts, and how often each occurs in those that train."""
     for part in parts:
-        for rows in part.column("parts").to_pylist():
+        for bucket, rows in zip(part.column("bucket").to_pylist(), part.column("parts").to_pylist()):
             pieces = []
             for table, yes, _ in trusted_texts(rows):
                 for at, some in stretches(table):
-                    mask = pa.array(yes[at : at + some.num_rows])
-                    pieces.append(np.unique(Grams(some.filter(mask).column("text"), order).keys, return_counts=True))
+                    grams = Grams(some.column("text"), order)
+                    number, distinct = pd.factorize(grams.keys)  # by hashing: grams repeat a lot
+                    pieces.append((distinct, np.bincount(number, yes[at + grams.text], minlength=len(distinct))))
             keys, counts = merged(pieces)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(counts, pa.int64())], names=["g", "c"])
-
-
-def wanted_grams(parts: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.RecordBatch]:
-    for part in parts:
-        for bucket, rows in zip(part.column("bucket").to_pylist(), part.column("parts").to_pylist()):
-            found = [np.unique(Grams(some.column("text"), order).keys) for table, _, _ in trusted_texts(rows) for _, some in stretches(table)]
-            keys = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([bucket] * len(keys), pa.int64()), pa.array(keys, pa.int64())], names=["bucket", "g"])
+            yield pa.RecordBatch.from_arrays([pa.array([bucket] * len(keys), pa.int64()), pa.array(keys, pa.int64()), pa.array(counts, pa.int64())], names=["bucket", "g", "c"])
 
 
 def scores(parts: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.RecordBatch]:
     for part in parts:
         for rows, keys, logs in zip(part.column("parts").to_pylist(), part.column("keys"), part.column("logs")):
             keys, logs = (np.asarray(x.values) if x.is_valid else np.zeros(0) for x in (keys, logs))
-            by = np.argsort(keys)
-            keys, logs = keys[by], logs[by]
+            place = pd.Index(keys)
             for table, _, held in trusted_texts(rows):
                 for at, some in stretches(table):
                     grams = Grams(some.column("text"), order)
-                    bits = logs[np.searchsorted(keys, grams.keys)] if len(grams.keys) else np.zeros(0)
+                    bits = logs[place.get_indexer(grams.keys)] if len(grams.keys) else np.zeros(0)
                     total = np.bincount(grams.text, bits, minlength=some.num_rows)
                     none = grams.n == 0
                     yield pa.RecordBatch.from_arrays(
@@ -228,12 +222,11 @@ def perplexity_filter(
     dealt = texts.mapInArrow(lambda p: in_buckets(p, TEXTS), schema).union(good.mapInArrow(lambda p: in_buckets(p, TRUSTED), schema))
     dealt = dealt.groupBy("bucket").agg(F.collect_list(F.struct("kind", "block")).alias("parts"))
 
-    counts = dealt.mapInArrow(lambda p: trusted_counts(p, order), "g bigint, c bigint").groupBy("g").agg(F.sum("c").alias("c"))
-    counts, _ = scratch.keep(counts, f"order{order}")
+    wanted, _ = scratch.keep(dealt.mapInArrow(lambda p: bucket_grams(p, order), "bucket bigint, g bigint, c bigint"), "grams")
+    counts, _ = scratch.keep(wanted.where("c > 0").groupBy("g").agg(F.sum("c").alias("c")), f"order{order}")
     tables = model(counts, order, scratch)
-    wanted = dealt.mapInArrow(lambda p: wanted_grams(p, order), "bucket bigint, g bigint")
     logs = probabilities(wanted.select("g").distinct(), tables, order)
-    answers = wanted.join(logs, "g").groupBy("bucket").agg(F.collect_list("g").alias("keys"), F.collect_list(F.col("logp").cast("float")).alias("logs"))
+    answers = wanted.select("bucket", "g").join(logs, "g").groupBy("bucket").agg(F.collect_list("g").alias("keys"), F.collect_list(F.col("logp").cast("float")).alias("logs"))
     scored = dealt.join(answers, "bucket", "left").mapInArrow(
         lambda p: scores(p, order), "id bigint, lang string, n_bytes bigint, perplexity double, held boolean")
     scored, _ = scratch.keep(scored, "scored")
