@@ -17,6 +17,7 @@ What is gathered, the lists and counts of step 2, comes from every bucket and gr
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +33,7 @@ from regulith.llm.packed import bounded_batches
 
 TEXTS, TRUSTED = 0, 1
 HELD_OUT = 5  # one in so many trusted texts, by hash of the id, does not train and gives the quantiles
+BUCKET_BYTES = 16 << 20  # of texts expected in a bucket
 HELD_BYTES = 32 << 20  # of texts that a task holds before it sends them to the buckets
 
 
@@ -213,7 +215,8 @@ def perplexity_filter(
     spark = docs.sparkSession
     bounded_batches(spark)
     scratch = Scratch(spark)
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    total = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
+    buckets = max(1, math.ceil(total / BUCKET_BYTES))
     key = F.col(id_col).cast("bigint")
     bucket = F.pmod(F.xxhash64(F.coalesce(key, F.xxhash64(text_col))), F.lit(buckets))
     texts = docs.select(bucket.alias("bucket"), key.alias("id"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "utf-8").alias("text"), F.col(lang_col).cast("string").alias("lang"))
