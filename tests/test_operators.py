@@ -266,3 +266,16 @@ def test_equal_documents_give_their_text_once(spark):
 
     chunks = spark.createDataFrame([("c", 0, "one", 1), ("c", 1, "two", 1), ("c", 0, "one", 2), ("c", 1, "two", 2)], "citation_id string, pos int, content string, doc_id int")
     assert [r.content for r in combined_text(chunks).collect()] == ["one\ntwo"]
+
+
+def test_building_a_plan_runs_no_job(spark, views):
+    texts, items = views("citation_zh_v"), views("benchmark")
+    context = spark.sparkContext
+    context.setJobGroup("building", "plans only")
+    try:
+        ontology.ontology_map(texts)
+        joins.contained_in(items, texts, "item_id", "text", "doc_id", "content")
+        ontology.entities(texts)
+        assert list(context.statusTracker().getJobIdsForGroup("building")) == []
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
