@@ -112,7 +112,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int, epochs: int, id_col:
             [pa.array([at.astype(np.int64).tobytes()], pa.binary()), pa.array([w[at].tobytes()], pa.binary()), pa.array([model.bias() if table else -30.0])], names=["at", "w", "bias"])
 
     sample = rows.mapInArrow(encode, "order bigint, label int, places binary")
-    model = sample.coalesce(1).mapInArrow(train, "at binary, w binary, bias double").collect()  # max_rows rows at most
+    model = sample.repartition(1).mapInArrow(train, "at binary, w binary, bias double").collect()  # max_rows rows at most
     if not model:
         return np.zeros(0, np.int64), np.zeros(0), -30.0
     return np.frombuffer(model[0]["at"], np.int64), np.frombuffer(model[0]["w"]), model[0]["bias"]
