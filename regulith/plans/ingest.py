@@ -30,15 +30,19 @@ CITATION_COLUMNS = ["province", "doc_class", "asset", "title", "url", "effective
 
 def ingest_batch(layout_docs: DataFrame, citations: DataFrame, as_of: dt.datetime, kb: Vocabulary = Vocabulary(),
                  thresholds: Thresholds = Thresholds(), max_tokens: int = 800, overlap: int = 100, min_clause: int = 50) -> IngestTables:
-    """``layout_docs``: doc_id, url, title, province, doc_class, text, pages."""
+    """``layout_docs``: doc_id, url, title, province, doc_class, text, pages.
+
+    A citation stores the whole text of its document, also of one without a chunk; ``min_clause`` and the least length of
+    a paragraph only filter what is chunked, mapped and embedded.
+    """
     docs = effective_date(with_paragraphs(layout_docs), as_of.date())
     keyed = docs.withColumn("checksum", sha256_hex("text")).withColumn("citation_id", stable_id("url", "checksum"))
     keyed = latest_per_key(keyed, ["citation_id"], [F.col("doc_id")])  # equal documents are one citation, told by the first
     # Citations, chunks and embedding input all start from these two tables.
-    meta = materialise(keyed.select("doc_id", "citation_id", "province", "doc_class", "title", "url", "effective_date", "checksum", "paragraphs"), "documents")
+    meta = materialise(keyed.select("doc_id", "citation_id", "province", "doc_class", "title", "url", "effective_date", "checksum", F.col("text").alias("content"), "paragraphs"), "documents")
     chunks = chunk_document(meta.select("doc_id", "paragraphs"), max_tokens, overlap, min_clause)
     chunks = materialise(chunks.join(meta.select("doc_id", "citation_id", "province", "doc_class"), "doc_id"), "chunks")
-    enriched = enrich_citations(chunks, kb, thresholds).select("citation_id", "content", "asset")
-    rows = meta.drop("paragraphs", "doc_id").join(enriched, "citation_id")
+    enriched = enrich_citations(chunks, kb, thresholds).select("citation_id", "asset")
+    rows = meta.drop("paragraphs", "doc_id").join(enriched, "citation_id", "left")
     merged, counts = upsert(citations, rows, ["citation_id"], CITATION_COLUMNS, as_of, order="checksum")
     return IngestTables(merged, counts, chunks, embed_prepare(chunks))
