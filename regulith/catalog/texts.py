@@ -138,6 +138,15 @@ def _(v):
 
 @query("x18_embed_prepare", f"select doc_id, ordinal, substr(regexp_replace({strip_sql('content')}, '\\s+', ' ', 'g'), 1, 8192) text, 'text-embedding' model, <<i:768>> \"dimension\" from {SPLIT}".replace("\\\\s", "\\s"))
 def _(v):
+    return _prepared(v, 8192)  # the prefix that the reference embeds
+
+
+@query("x18_embed_prepare_whole", f"select doc_id, ordinal, regexp_replace({strip_sql('content')}, '\\s+', ' ', 'g') text, 'text-embedding' model, <<i:768>> \"dimension\" from {SPLIT}")
+def _(v):
+    return _prepared(v)
+
+
+def _prepared(v, max_len=None):
     chunks = c.split_chunks(v("citation_zh_v"))
-    prepared = c.embed_prepare(chunks.select(F.col("doc_id").alias("citation_id"), F.col("ordinal").alias("chunk_id"), "content", F.lit("x").alias("province"), F.lit("y").alias("doc_class")))
+    prepared = c.embed_prepare(chunks.select(F.col("doc_id").alias("citation_id"), F.col("ordinal").alias("chunk_id"), "content", F.lit("x").alias("province"), F.lit("y").alias("doc_class")), max_len=max_len)
     return prepared.select(F.col("citation_id").alias("doc_id"), F.col("chunk_id").alias("ordinal"), "text", "model", "dimension")

@@ -178,9 +178,10 @@ def layout_metadata(layout_docs: DataFrame) -> DataFrame:
         F.when(F.size(conf) > 0, mean).otherwise(0.0).alias("avg_confidence"), language_label("text").alias("language"))
 
 
-def embed_prepare(chunks: DataFrame, model: str = "text-embedding", dimension: int = 768, max_len: int = 8192) -> DataFrame:
-    """Cleaned and bounded text with its ids, ready for an embedding model."""
+def embed_prepare(chunks: DataFrame, model: str = "text-embedding", dimension: int = 768, max_len: int | None = None) -> DataFrame:
+    """Cleaned text with its ids, ready for an embedding model; whole, unless ``max_len`` cuts it to a prefix."""
     cleaned = F.regexp_replace(strip("content"), r"\s+", " ")
-    return chunks.select("citation_id", "chunk_id", F.substring(cleaned, 1, max_len).alias("text"), F.lit(model).alias("model"), F.lit(dimension).alias("dimension"), "province", "doc_class")
+    text = cleaned if max_len is None else F.substring(cleaned, 1, max_len)
+    return chunks.select("citation_id", "chunk_id", text.alias("text"), F.lit(model).alias("model"), F.lit(dimension).alias("dimension"), "province", "doc_class")
 
 
