@@ -101,6 +101,16 @@ def _(v):
     return j.contained_in(clauses, docs, "clause_id", "clause", "doc_id", "content")
 
 
+ZH_ALL_CLAUSES = """(select doc_id clause_id, substr(content, cast(1 + doc_id % 9 as int), cast(2 + doc_id % 11 as int)) clause from citation_zh_v)"""
+
+
+@query("j10_contained_in_zh_all", f"select a.clause_id, d.doc_id from {ZH_ALL_CLAUSES} a join citation_zh_v d on contains(d.content, a.clause)")
+def _(v):
+    docs = v.dealt("citation_zh_v").select("doc_id", "content")
+    clauses = docs.select(F.col("doc_id").alias("clause_id"), F.expr("substr(content, cast(1 + doc_id % 9 as int), cast(2 + doc_id % 11 as int))").alias("clause"))
+    return j.contained_in(clauses, docs, "clause_id", "clause", "doc_id", "content")
+
+
 @query("j10_match_gold", """select q.question_id, b.item_id, coalesce(contains(a.text, b.text), false) hit from benchmark b
  join (select item_id, item_id question_id from benchmark) q on b.item_id = q.item_id left join documents a on a.doc_id = q.question_id""")
 def _(v):
