@@ -12,6 +12,7 @@ from regulith.llm.block_dedup import dedup_windows
 from regulith.llm.decontaminate import contaminated
 from regulith.llm.line_templates import drop_recurring_lines
 from regulith.llm.minhash import near_duplicates
+from regulith.llm.mixing import mix_sources
 from regulith.llm.packing import pack_documents
 from regulith.llm.perplexity import perplexity_filter
 from regulith.llm.quality_rules import quality_rules
@@ -157,6 +158,34 @@ def op10(table):
     return drop_recurring_lines(table("documents")).drop("n_chars")
 
 
+MIX_SQL = """
+with recursive d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) size from documents),
+ s0 as (select source, cast(sum(size) as bigint) source_size from d group by source),
+ s1 as (select *, row_number() over (order by source nulls last) - 1 nr from s0),
+ s2 as (select *, [5, 2, 1][nr % 3 + 1] weight, 2 * source_size cap from s1),
+ lv as (select 0 k, cast(0 as double) level union all
+  select k + 1, (1.5 * cast(sum(source_size) as double) - cast(sum(case when cap < weight * level then cap else 0 end) as double)) / sum(case when cap < weight * level then 0 else weight end)
+  from lv, s2 where k <= (select count(*) from s2) group by k, level),
+ s3 as (select nr, source, source_size, case when cap < weight * level then cast(cap as double) else weight * level end target from s2, (select level from lv order by k desc limit 1)),
+ s as (select *, cast(floor(target + 0.5) as bigint) wanted from s3),
+ o as (select nr, doc_id, size, row_number() over w - 1 nth, coalesce(sum(size) over (w rows between unbounded preceding and 1 preceding), 0) off
+  from d join s on d.source is not distinct from s.source window w as (partition by nr order by md5(cast(doc_id as varchar)), doc_id, size)),
+ t as (select nr, source_size, turn, greatest(0, least(source_size, wanted - turn * source_size)) turn_words from s, unnest([0, 1]) u(turn)),
+ b as (select *, unnest(range((source_size + 255) // 256)) block from t where turn_words > 0),
+ r as (select *, row_number() over (partition by nr, turn order by block >= source_size // 256, md5(concat_ws(':', nr, turn, block)), block) - 1 place from b),
+ f as (select nr, turn, block, least(256, turn_words - 256 * place, source_size - 256 * block) words from r),
+ p as (select nr, nth, least(least(off + size, (block + 1) * 256) - greatest(off, block * 256), words - (greatest(off, block * 256) - block * 256)) n
+  from o join f using (nr) where words > 0 and size > 0 and block between off // 256 and (off + size - 1) // 256),
+ g as (select nr, nth, cast(sum(n) as bigint) taken, count(*) spans from p where n > 0 group by nr, nth)
+select o.doc_id, o.size, s.source_size, s.target, coalesce(g.taken, 0) taken, coalesce(g.spans, 0) spans from o join s using (nr) left join g using (nr, nth)
+"""
+
+
+@query("op11_mixing", MIX_SQL)
+def op11(table):
+    return mix_sources(table("documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     configure(spark)
     return corpus_pipeline.run(spark, sf_dir)
