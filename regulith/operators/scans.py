@@ -29,20 +29,17 @@ def running_sums(df: DataFrame, group: list[str], order: list[Column], values: d
     """For each name the sum of its value over the earlier rows of the group (0 for the first).
 
     ``segment`` is a column that never falls along the order, such as the slice of ``range_segments`` or a prefix of the
-    first order column. ``df`` is read twice. Null group values are a group.
+    first order column; it and the group must not be null. ``df`` is read twice.
     """
-    totals = {f"_{name}_before": F.sum(value).alias(f"_{name}_before") for name, value in values.items()}
     earlier = W.partitionBy(*group).orderBy(segment).rowsBetween(W.unboundedPreceding, -1)
-    sums = df.groupBy(*group, segment).agg(*totals.values())
-    sums = sums.select(
-        *(F.col(g).alias(f"_at_{g}") for g in (*group, segment)), *(F.coalesce(F.sum(t).over(earlier), F.lit(0)).alias(t) for t in totals))
     inside = W.partitionBy(*group, segment).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    rows = df.select("*", *(F.coalesce(F.sum(value).over(inside), F.lit(0)).alias(name) for name, value in values.items()))
-    same = F.lit(True)
-    for g in (*group, segment):
-        same = same & F.col(g).eqNullSafe(F.col(f"_at_{g}"))
-    joined = rows.join(sums, same)
-    return joined.select(*df.columns, *((F.col(name) + F.col(f"_{name}_before")).alias(name) for name in values))
+    none = lambda c: F.coalesce(c, F.lit(0))
+    sums = df.groupBy(*group, segment).agg(*(F.sum(value).alias(f"_in_{name}") for name, value in values.items()))
+    sums = sums.select(*group, segment, *(none(F.sum(f"_in_{name}").over(earlier)).alias(f"_before_{name}") for name in values))
+    rows = df.select("*", *(none(F.sum(value).over(inside)).alias(name) for name, value in values.items()))
+    # Rows are partitioned and sorted by the keys already; the planner's guess of a size behind explode is no ground to broadcast.
+    joined = rows.join(sums.hint("merge"), [*group, segment])
+    return joined.select(*df.columns, *((F.col(name) + F.col(f"_before_{name}")).alias(name) for name in values))
 
 
 def positions(df: DataFrame, *order: Column, name: str = "position", label: str = "positions") -> DataFrame:
