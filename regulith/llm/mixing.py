@@ -22,21 +22,22 @@ from regulith.operators.scans import SEGMENT, positions, running_sums
 from regulith.session import materialise
 
 WORDS = "[^\\x20\\x09-\\x0D]+"
-PIECE = 1 << 16  # rows that one row is unfolded to in a task
+PIECE = 1 << 14  # rows that one row is unfolded to at a time
 
 
 def reversed_bits(x: Column, bits: int) -> Column:
-    """The lowest ``bits`` bits of x in reverse order: the index of the point x / 2^bits in van der Corput's sequence."""
-    for width, mask in ((1, 0x5555555555555555), (2, 0x3333333333333333), (4, 0x0F0F0F0F0F0F0F0F), (8, 0x00FF00FF00FF00FF), (16, 0x0000FFFF0000FFFF), (32, 0x00000000FFFFFFFF)):
-        x = F.shiftrightunsigned(x, width).bitwiseAND(F.lit(mask)).bitwiseOR(F.shiftleft(x.bitwiseAND(F.lit(mask)), width))
-    return F.shiftrightunsigned(x, 64 - bits) if bits else F.lit(0).cast("bigint")
+    """The ``bits`` bits of x in reverse order: the index of the point x / 2^bits in van der Corput's sequence."""
+    return F.conv(F.reverse(F.lpad(F.bin(x), bits, "0")), 2, 10).cast("bigint") if bits else F.lit(0).cast("bigint")
 
 
-def unfolded(df: DataFrame, count: Column, name: str) -> DataFrame:
-    """Each row once for each number below ``count``, dealt in pieces of PIECE numbers."""
+def unfolded(df: DataFrame, count: Column, name: str, total: int) -> DataFrame:
+    """Each row once for each number below ``count``, ``total`` in all, dealt in pieces of PIECE numbers.
+
+    The number of partitions is given, as the pieces' few bytes would have them all put in one.
+    """
     last = count - 1
     pieces = df.where(count > 0).withColumn("_from", F.explode(F.sequence(F.lit(0).cast("bigint"), last, F.lit(PIECE).cast("bigint"))))
-    dealt = pieces.withColumn("_to", F.least(F.col("_from") + PIECE - 1, last)).repartition("no", "_from")
+    dealt = pieces.withColumn("_to", F.least(F.col("_from") + PIECE - 1, last)).repartition(1 + total // (4 * PIECE), "no", "_from")
     return dealt.withColumn(name, F.explode(F.sequence("_from", "_to"))).drop("_from", "_to")
 
 
@@ -72,12 +73,11 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...], percent: int, mos
     return sources.withColumn("blocks", blocks(F.col("source_size"))).withColumn(SEGMENT, F.expr(f"no div {PIECE}"))
 
 
-def slots(sources: DataFrame) -> DataFrame:
+def slots(sources: DataFrame, total: int) -> DataFrame:
     """(no, rank, slot): the k-th slot of each source and its place in the mix."""
-    total = sources.agg(F.sum("slots")).first()[0] or 0
     bits = max(0, total - 1).bit_length()
     places = running_sums(sources, [], [F.col("no")], {"first": F.col("slots")}).select("no", "first", "slots")
-    units = unfolded(places, F.col("slots"), "nth").withColumn("unit", F.col("first") + F.col("nth"))
+    units = unfolded(places, F.col("slots"), "nth", total).withColumn("unit", F.col("first") + F.col("nth"))
     big = lambda c: c.cast("decimal(19,0)")
     # The first point on a slot, of 2^bits points side by side: ceil(unit * 2^bits / slots of all sources).
     def lowest(unit: Column) -> Column:
@@ -91,14 +91,14 @@ def slots(sources: DataFrame) -> DataFrame:
 
 
 def prefix(digest: Column) -> Column:
-    return F.conv(F.substring(digest, 1, 4), 16, 10).cast("int")
+    return F.conv(F.substring(digest, 1, 3), 16, 10).cast("int")
 
 
-def shuffled_blocks(sources: DataFrame, block: int) -> DataFrame:
+def shuffled_blocks(sources: DataFrame, block: int, total: int) -> DataFrame:
     """(no, rank, turn, block, words): the blocks that each pass takes, ranked over the passes in shuffled order."""
     turns = sources.select("no", "blocks", "source_size", F.posexplode("turns").alias("turn", "limit")).where("limit > 0")
     turns = turns.withColumn("whole", F.expr(f"source_size div {block}"))
-    rows = unfolded(turns, F.col("blocks"), "block").withColumn("digest", F.md5(F.concat_ws(":", "no", "turn", "block")))
+    rows = unfolded(turns, F.col("blocks"), "block", total).withColumn("digest", F.md5(F.concat_ws(":", "no", "turn", "block")))
     rows = rows.withColumn(SEGMENT, F.when(F.col("block") < F.col("whole"), prefix(F.col("digest"))).otherwise(PIECE))
     ranked = running_sums(rows, ["no", "turn"], [F.col("digest"), F.col("block")], {"place": F.lit(1)})
     words = F.least(F.lit(block), F.col("limit") - block * F.col("place"), F.col("source_size") - block * F.col("block"))
@@ -127,13 +127,14 @@ class Mix:
         rows = rows.withColumn("digest", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).withColumn(SEGMENT, prefix(F.col("digest")))
         rows = running_sums(rows, ["no"], [F.col("digest"), F.col("doc_id"), F.col("size")], {"at": F.col("size"), "nth": F.lit(1)})
         self.documents = materialise(rows.select("no", "nth", "doc_id", "size", "at"), "offsets")
-        self.schedule = slots(self.sources).join(shuffled_blocks(self.sources, block), ["no", "rank"]).select("slot", "no", "turn", "block", "words")
+        total = self.sources.agg(F.sum("slots")).first()[0] or 0
+        self.schedule = slots(self.sources, total).join(shuffled_blocks(self.sources, block, total).hint("merge"), ["no", "rank"]).select("slot", "no", "turn", "block", "words")
         ends = F.col("at") + F.col("size")
         parts = self.documents.where("size > 0").withColumn("block", F.explode(F.sequence(F.expr(f"at div {block}"), F.expr(f"(at + size - 1) div {block}"))))
         low = F.greatest(F.col("at"), F.col("block") * block)
         parts = parts.select("no", "nth", "doc_id", "block", (low - F.col("at")).alias("start"), (low - F.col("block") * block).alias("_low"), (F.least(ends, (F.col("block") + 1) * block) - low).alias("_n"))
         taken = F.least(F.col("_n"), F.col("words") - F.col("_low"))
-        self.spans = parts.join(self.schedule, ["no", "block"]).select("slot", "turn", "no", "nth", "doc_id", "start", taken.alias("words")).where("words > 0")
+        self.spans = parts.join(self.schedule.hint("merge"), ["no", "block"]).select("slot", "turn", "no", "nth", "doc_id", "start", taken.alias("words")).where("words > 0")
 
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), percent: int = 150, most: int = 2, block: int = 256,
@@ -151,7 +152,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), percent:
     """
     mix = Mix(docs, weights, percent, most, block, id_col, text_col, source_col)
     taken = mix.spans.groupBy("no", "nth").agg(F.sum("words").alias("taken"), F.count(F.lit(1)).alias("spans"))
-    rows = mix.documents.join(taken, ["no", "nth"], "left").join(mix.sources.select("no", "source_size", "target"), "no")
+    rows = mix.documents.join(taken.hint("merge"), ["no", "nth"], "left").join(mix.sources.select("no", "source_size", "target"), "no")
     none = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c)
     return rows.select(F.col("doc_id").alias(id_col), "size", "source_size", "target", none("taken"), none("spans"))
 
