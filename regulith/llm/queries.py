@@ -10,9 +10,11 @@ import corpus_pipeline
 from regulith.llm.archive import archive_round_trip
 from regulith.llm.block_dedup import dedup_windows
 from regulith.llm.decontaminate import contaminated
+from regulith.llm.lexical import ranked_search
 from regulith.llm.line_templates import drop_recurring_lines
 from regulith.llm.minhash import near_duplicates
 from regulith.llm.mixing import mix_sources
+from regulith.llm.negatives import hard_negatives
 from regulith.llm.packing import pack_documents
 from regulith.llm.perplexity import perplexity_filter
 from regulith.llm.quality_rules import quality_rules
@@ -186,6 +188,41 @@ def op11(table):
     return mix_sources(table("documents"))
 
 
+SEARCH_SQL = """
+with b as (select item_id, row_number() over () nr, list_distinct(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) terms from benchmark),
+ d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') t from documents),
+ st as (select count(*) docs, cast(sum(len(t)) as bigint) terms from d where len(t) > 0),
+ q as (select nr, item_id, unnest(terms) term from b),
+ tf as (select doc_id, n, term, count(*) tf from (select doc_id, len(t) n, unnest(t) term from d) where term in (select term from q) group by all),
+ df as (select term, count(*) df from tf group by term),
+ part as (select doc_id, term, cast(floor(1000 * ln(cast(2 * docs + 2 as double) / (2 * df + 1))) as bigint) * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // terms))) part from tf join df using (term), st),
+ hit as (select nr, item_id, doc_id, cast(sum(part) as bigint) score from q join part using (term) group by all having sum(part) > 0)
+select item_id, row_number() over (partition by nr order by score desc, doc_id) "rank", doc_id, score from hit qualify "rank" <= 50
+"""
+
+
+@query("op12_lexical_search", SEARCH_SQL)
+def op12(table):
+    return ranked_search(table("documents"), table("benchmark"))
+
+
+NEGATIVE_SQL = """
+with e as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end label, list_transform(embedding, lambda x: floor(256 * cast(x as double))) v
+  from embeddings where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+ p as (select a.vec_id anchor, a.label own, b.vec_id, b.label, cast(list_inner_product(a.v, b.v) as bigint) s from e a join e b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id),
+ y as (select anchor, own, vec_id pid, s ps from p where own = label qualify row_number() over (partition by anchor order by s desc, vec_id) <= 5),
+ n as (select y.anchor, pid, ps, p.vec_id nid, p.s ns, row_number() over (partition by y.anchor, pid order by p.s desc, p.vec_id) "rank"
+  from y join p on p.anchor = y.anchor and p.label <> y.own and 50 * ps <= 100 * s and 100 * s <= 95 * ps)
+select anchor anchor_id, pid positive_id, "rank", nid negative_id, ps positive_score, ns negative_score from n where "rank" <= 3
+"""
+
+
+@query("op13_hard_negatives", NEGATIVE_SQL)
+def op13(table):
+    return hard_negatives(table("embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     configure(spark)
     return corpus_pipeline.run(spark, sf_dir)
