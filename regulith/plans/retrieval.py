@@ -21,6 +21,7 @@ from regulith.functions.vectors import blend
 from regulith.operators.filters import active
 from regulith.operators.joins import merge_scores
 from regulith.operators.windows import topk_per_key
+from regulith.plans.text_index import TextIndex, build_index, keys_of
 from regulith.plans.vector_kernel import DIGITS, SCOPE, TopK, question_sets, strings, unit_rows
 from regulith.session import materialise
 
@@ -107,85 +108,70 @@ def question_terms(questions: DataFrame) -> DataFrame:
     return questions.select("question_id", F.explode(F.array_distinct(simple_tokens("question"))).alias("term"))
 
 
-MARK_DOCS, MARK_LENGTH = "\u0001docs", "\u0001length"
+def as_index(citations: DataFrame | TextIndex) -> TextIndex:
+    """A stored index as it is; for a table of citations one is written first."""
+    return citations if isinstance(citations, TextIndex) else build_index(citations)
 
 
-def term_statistics(terms: DataFrame, citations: DataFrame) -> DataFrame:
-    """Document frequency of the asked terms, with the number of documents and of tokens as two more rows.
-
-    One pass over the texts. Only asked terms leave the scan, already counted per partition.
-    """
-    wanted = terms.select("term").union(citations.sparkSession.createDataFrame([(MARK_DOCS,), (MARK_LENGTH,)], "term string")).distinct()
-    tokens = citations.select("content").select(simple_tokens("content").alias("t"))
-    entry = lambda name, n: F.struct(name.alias("term"), n.cast("long").alias("n"))
-    rows = F.concat(
-        F.transform(F.array_distinct("t"), lambda t: entry(t, F.lit(1))),
-        F.array(entry(F.lit(MARK_DOCS), F.lit(1)), entry(F.lit(MARK_LENGTH), F.size("t"))),
-    )
-    counted = tokens.select(F.explode(rows).alias("r")).select("r.term", "r.n")
-    counted = counted.join(wanted, "term", "left_semi").groupBy("term").agg(F.sum("n").alias("df"))
-    return materialise(counted, "term-statistics")
-
-
-def bm25(questions: DataFrame, pairs: DataFrame, citations: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """BM25 of the given (question, citation) pairs; statistics over all given citations."""
+def bm25(questions: DataFrame, pairs: DataFrame, citations: DataFrame | TextIndex, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """BM25 of the given (question, citation) pairs; statistics over all indexed citations. Only postings of asked terms are read."""
+    index = as_index(citations)
     terms = question_terms(questions)
-    stats = term_statistics(terms, citations)
-    n_docs = stats.filter(F.col("term") == MARK_DOCS).select("df").scalar()
-    n_tokens = stats.filter(F.col("term") == MARK_LENGTH).select("df").scalar()
+    asked = terms.select("term").distinct()
+    n_docs, n_tokens = index.sizes()
     ids = pairs.select("citation_id").distinct()
-    pool = citations.select("citation_id", "content").join(ids, "citation_id", "left_semi").select("citation_id", simple_tokens("content").alias("t"))
-    tf = materialise(
-        pool.select("citation_id", F.size("t").alias("len"), F.explode("t").alias("term"))
-        .join(stats, "term").groupBy("citation_id", "len", "term", "df").agg(F.count("*").alias("tf")), "term-frequencies")
-    # Where terms and frequencies are small the pairs stay in place: their terms are generated and
-    # summed inside one task. Beyond the checked sizes both joins shuffle.
-    wanted = pairs.select("question_id", "citation_id").join(terms, "question_id")
-    tf = tf
+    tf = index.of(asked).select("citation_id", "term", F.size("positions").alias("tf"), "length").join(ids, "citation_id", "left_semi")
+    tf = tf.join(index.frequencies(asked), "term")
     idf = F.log(F.lit(1.0) + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    norm = F.lit(1 - b) + F.lit(b) * F.col("len") / (n_tokens / n_docs)
+    norm = F.lit(1 - b) + F.lit(b) * F.col("length") / (n_tokens / n_docs)
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + F.lit(k1) * norm)
+    wanted = pairs.select("question_id", "citation_id").join(terms, "question_id")
     return wanted.join(tf, ["citation_id", "term"]).groupBy("question_id", "citation_id").agg(F.sum(weight).alias("tscore"))
 
 
-def text_hits(questions: DataFrame, citations: DataFrame) -> DataFrame:
-    """Pairs in scope where the citation holds every term of the question.
+def _matches(questions: DataFrame, index: TextIndex, pairs: DataFrame | None) -> DataFrame:
+    """(question_id, citation_id, found): the places of every term, for citations in scope that hold all terms of the question.
 
-    Only documents with the question's rarest term can match, so that term is the join key; the
-    others are verified on the matched documents.
+    Only citations with the question's rarest term of its scope can match, so its postings are the candidates, unless pairs are
+    given; the places of all terms are looked up for candidates alone. A term its scope does not have matches nothing.
     """
     terms = question_terms(questions)
-    stats = term_statistics(terms, citations)
-    first = F.min(F.struct("df", "term"))["term"].alias("term")
-    # A term no document has makes the question match nothing.
-    known = terms.join(stats, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    rare = known.groupBy("question_id").agg(first, F.min("df").alias("df"), F.sort_array(F.collect_list("term")).alias("terms")).filter("df > 0")
-    keys = questions.select("question_id", *SCOPE, *([c for c in ("asset",) if c in questions.columns])).join(rare, "question_id")
-    rare_terms = keys.select("term").distinct()
-    cites = citations.select("citation_id", *SCOPE, "asset", "content").select("citation_id", *SCOPE, "asset", F.array_distinct(simple_tokens("content")).alias("t"))
-    postings = cites.select("citation_id", *SCOPE, F.col("asset").alias("_asset"), F.explode("t").alias("term")).join(rare_terms, "term", "left_semi")
-    pairs = postings.join(keys, ["term", *SCOPE])
-    if "asset" in questions.columns:
-        pairs = pairs.filter(F.col("asset").isNull() | (F.col("asset") == F.col("_asset")))
-    pairs = pairs.select("question_id", "citation_id", "terms")
-    checked = cites.select("citation_id", "t").join(pairs, "citation_id").filter(F.size(F.array_except("terms", "t")) == 0)
-    return checked.select("question_id", "citation_id", "terms")
-
-
-def text_rank(questions: DataFrame, citations: DataFrame, weight: float = 0.1) -> DataFrame:
+    asked = terms.select("term").distinct()
+    has_asset = "asset" in questions.columns
+    scoped = questions.select("question_id", *SCOPE, *(["asset"] if has_asset else []))
+    postings = index.of(asked)
+    if pairs is None:
+        known = index.terms.join(keys_of(asked), ["bucket", "term"], "left_semi").select("term", *SCOPE, "df")
+        known = terms.join(scoped, "question_id").join(known, ["term", *SCOPE], "left").withColumn("df", F.coalesce("df", F.lit(0)))
+        rare = known.groupBy("question_id", *SCOPE, *(["asset"] if has_asset else [])).agg(
+            F.min(F.struct("df", "term"))["term"].alias("term"), F.min("df").alias("df"), F.count("*").alias("n")).filter("df > 0")
+        pairs = postings.select("term", "citation_id", *SCOPE, F.col("asset").alias("_asset")).join(rare, ["term", *SCOPE])
+        if has_asset:
+            pairs = pairs.filter(F.col("asset").isNull() | (F.col("asset") == F.col("_asset")))
+        pairs = pairs.select("question_id", "citation_id", "n")
+    else:
+        pairs = pairs.select("question_id", "citation_id").join(terms.groupBy("question_id").agg(F.count("*").alias("n")), "question_id")
+    looked = pairs.join(terms, "question_id").join(postings.select("term", "citation_id", "positions"), ["term", "citation_id"])
+    found = looked.groupBy("question_id", "citation_id", "n").agg(F.collect_list("positions").alias("found"))
+    return found.filter(F.size("found") == F.col("n"))
+
+
+def text_hits(questions: DataFrame, citations: DataFrame | TextIndex, pairs: DataFrame | None = None) -> DataFrame:
+    """Pairs in scope (or of the given pairs) where the citation holds every term of the question."""
+    return _matches(questions, as_index(citations), pairs).select("question_id", "citation_id")
+
+
+def text_rank(questions: DataFrame, citations: DataFrame | TextIndex, weight: float = 0.1, pairs: DataFrame | None = None) -> DataFrame:
     """Cover density of the matching pairs: every minimal span holding all terms adds weight / (1 + noise).
 
-    The fold walks the positions of question terms in order and keeps the last place of each term;
+    The fold walks the places of question terms in order and keeps the last place of each term;
     the span ends at the current place and starts at the oldest last place. It counts when its start
     moved forward. Noise is the number of other tokens inside the span.
     """
-    hits = text_hits(questions, citations)
-    tokens = citations.select("citation_id", simple_tokens("content").alias("t"))
-    pairs = hits.join(tokens, "citation_id")
-    places = F.filter(
-        F.transform("t", lambda t, i: F.struct(i.alias("at"), F.array_position("terms", t).cast("int").alias("term"))), lambda p: p["term"] > 0)
-    places = F.transform(places, lambda p, i: F.struct(p["at"].alias("at"), p["term"].alias("term"), i.alias("nth")))
-    last0 = F.transform("terms", lambda _: F.struct(F.lit(-1).alias("at"), F.lit(-1).alias("nth")))
+    hits = _matches(questions, as_index(citations), pairs)
+    places = F.flatten(F.transform("found", lambda of, k: F.transform(of, lambda at: F.struct(at.alias("at"), (k + 1).alias("term")))))
+    places = F.transform(F.array_sort(places), lambda p, i: F.struct(p["at"].alias("at"), p["term"].alias("term"), i.alias("nth")))
+    last0 = F.transform("found", lambda _: F.struct(F.lit(-1).alias("at"), F.lit(-1).alias("nth")))
 
     def step(s, p):
         last = F.transform(s["last"], lambda x, i: F.when(i + 1 == p["term"], F.struct(p["at"].alias("at"), p["nth"].alias("nth"))).otherwise(x))
@@ -196,7 +182,7 @@ def text_rank(questions: DataFrame, citations: DataFrame, weight: float = 0.1) -
                         F.when(new, s["score"] + F.lit(weight) / (noise + 1)).otherwise(s["score"]).alias("score"))
 
     folded = F.aggregate(places, F.struct(last0.alias("last"), F.lit(-1).alias("start"), F.lit(0.0).alias("score")), step)
-    return pairs.select("question_id", "citation_id", folded["score"].alias("tscore"))
+    return hits.select("question_id", "citation_id", folded["score"].alias("tscore"))
 
 
 def min_max(scores: DataFrame, name: str) -> DataFrame:
@@ -216,7 +202,7 @@ def hybrid_scores(questions: DataFrame, citations: DataFrame, alpha: float = 0.6
     if text_score == "bm25":
         scored = min_max(merge_scores(vec, bm25(questions, vec, cites)), "tscore")
     elif text_score == "text_rank":
-        scored = merge_scores(vec, text_rank(questions, cites))
+        scored = merge_scores(vec, text_rank(questions, cites, pairs=vec))
     else:
         raise ValueError(f"unknown text score: {text_score}")
     scored = scored.withColumn("score", F.round(blend("vscore", "tscore", alpha), DIGITS))

@@ -55,6 +55,11 @@ VIEWS: dict[str, str] = {
  join {embeddings} e on e.vec_id = q.conv_id % q.n_vec""",
     "sentence_v": """select item_id * 1000 + pos question_id, trim(s) question,
  """ + SCOPE.replace("{key}", "pos") + """ from <<sentences:{benchmark}>> where length(trim(s)) > 0""",
+    "citation_zh_emb_v": """select z.*, e.embedding from {citation_zh_v} z join {embeddings} e on z.doc_id = e.vec_id""",
+    "question_zh_v": """select b.item_id question_id, concat(substr(h, cast(b.item_id % 40 as int) + 1, cast(b.item_id % 5 as int) + 3), case when b.item_id % 4 = 0 then ' 2024' else '' end) question,
+ """ + SCOPE.replace("{key}", "b.item_id") + """, e.embedding from (select item_id, case item_id % 6 """
+    + " ".join(f"when {i} then {h}" for i, h in enumerate(HEADS[:5])) + f" else {HEADS[5]} end h from {{benchmark}}) b"
+    + """ join {embeddings} e on e.vec_id = b.item_id""",
     "result_v": """select q.question_id, q.lang, q.j + 1 "rank", 1 - q.j / 20.0 score, c.citation_id, c.doc_id, c.title, c.url, c.effective_date, c.content, c.province, c.doc_class, c.asset,
  case when c.doc_id % 17 = 0 then null else c.checksum end checksum, case when c.doc_id % 19 = 0 then 'c1' end superseded_by
  from (select *, <<explode:12>> j from {question_v}) q join {citation_zh_v} c on c.doc_id = q.conv_id * 3 + q.j""",
