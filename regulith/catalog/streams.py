@@ -8,7 +8,7 @@ from regulith.catalog.base import AS_OF, query
 from regulith.functions.text import sha256_hex
 from regulith.plans import chunking
 from regulith.session import scratch_path
-from regulith.streaming import runner, usage
+from regulith.streaming import keyed, runner, usage
 
 
 def _events(v):
@@ -51,6 +51,13 @@ def _(v):
     return usage.trailing_usage(_batch_events(v), "event_type", "event_id", 3600, 30).select("event_id", "used", "over_quota")
 
 
+@query("t2_trailing_stream", """select event_type, event_id, <<t:ts>> ts, used, used > 30 over_quota from (select *, count(*) over w used from events window w as (partition by event_type order by ts range between interval '3600' second preceding and current row))
+ where epoch_us(ts) < floor((select max(epoch_us(ts)) from events) / 1000.0) * 1000 - 600000000""")
+def _(v):
+    keyed.use_keyed_state(v.spark)
+    return runner.run_append(keyed.trailing_quota_stream(_events(v), "event_type", "event_id", 3600, 30, "10 minutes"), "trailing")
+
+
 @query("t3_dedup_stream", "select distinct sha256(html) checksum from pages")
 def _(v):
     pages = runner.file_stream(v.spark, v.dir, "pages.parquet", v("pages").schema)
@@ -75,6 +82,24 @@ def _(v):
     return runner.run_update(usage.job_state(rows), ["job_id"], "job-state")
 
 
+LIFECYCLE = """with f as (select job_id, arg_max(status, (occurred_at, event_id)) last, count(*) filter (status = 'failed') failures, max(occurred_at) updated_at from job_event_v group by 1),
+ s as (select *, case when last = 'failed' and failures <= 3 then 'pending' else last end shown from f)
+ select job_id, case when shown not in ('completed', 'failed') and epoch_us(updated_at) + 432000000000 < (select max(epoch_us(occurred_at)) - 600000000 from job_event_v) then 'timed_out' else shown end status, failures, <<t:updated_at>> updated_at from s"""
+
+
+@query("t5_job_lifecycle", LIFECYCLE)
+def _(v):
+    return keyed.job_lifecycle(v("job_event_v"), 432_000, 600)
+
+
+@query("t5_job_lifecycle_stream", LIFECYCLE)
+def _(v):
+    keyed.use_keyed_state(v.spark)
+    status = F.expr("case event_type when 'click' then 'processing' when 'view' then 'pending' when 'error' then 'failed' when 'signup' then 'retrying' else 'completed' end")
+    rows = _events(v).select("event_id", F.col("user_id").alias("job_id"), status.alias("status"), F.col("ts").alias("occurred_at"))
+    return runner.run_update(keyed.job_lifecycle_stream(rows, 432_000, "10 minutes"), ["job_id"], "lifecycle", within=("seq",)).drop("seq")
+
+
 LIVE = "select event_type, count(*) total, count(*) filter (value > 10) successes, <<r:avg(value) filter (value > 10)>> avg_value from events group by 1"
 
 

@@ -18,10 +18,10 @@ def file_stream(spark: SparkSession, folder: str, pattern: str, schema, max_file
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).option("pathGlobFilter", pattern).parquet(folder)
 
 
-def run_append(stream: DataFrame, label: str) -> DataFrame:
-    """Append-mode result through the transactional parquet sink."""
+def run_append(stream: DataFrame, label: str, path: str | None = None) -> DataFrame:
+    """Append-mode result through the transactional parquet sink. A ``path`` given again resumes where its checkpoint stands."""
     spark = stream.sparkSession
-    path = scratch_path(spark, label)
+    path = path or scratch_path(spark, label)
     query = (
         stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{path}-checkpoint")
         .trigger(availableNow=True).start(path)
@@ -30,10 +30,14 @@ def run_append(stream: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(path)
 
 
-def run_update(stream: DataFrame, keys: list[str], label: str) -> DataFrame:
-    """Update-mode result: each batch overwrites its own folder, so a repeated batch changes nothing."""
+def run_update(stream: DataFrame, keys: list[str], label: str, path: str | None = None, within: tuple[str, ...] = ()) -> DataFrame:
+    """Update-mode result: each batch overwrites its own folder, so a repeated batch changes nothing.
+
+    Of a key's rows the last batch's holds, of several in one batch that of largest ``within``. A ``path`` given again
+    resumes where its checkpoint stands.
+    """
     spark = stream.sparkSession
-    path = scratch_path(spark, label)
+    path = path or scratch_path(spark, label)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.withColumn("_batch", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(f"{path}/part={batch_id}")
@@ -41,7 +45,7 @@ def run_update(stream: DataFrame, keys: list[str], label: str) -> DataFrame:
     query = stream.writeStream.outputMode("update").option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).foreachBatch(write).start()
     query.awaitTermination()
     rows = spark.read.option("recursiveFileLookup", "true").parquet(path)
-    return latest_per_key(rows, keys, [F.col("_batch").desc()]).drop("_batch")
+    return latest_per_key(rows, keys, [F.col("_batch").desc(), *(F.col(c).desc() for c in within)]).drop("_batch")
 
 
 def ingest_stream(stream: DataFrame, transform: Callable[[DataFrame], DataFrame], target: str, keys: list[str], cols: list[str],
