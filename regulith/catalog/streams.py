@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from regulith.catalog.base import AS_OF, query
-from regulith.functions.text import sha256_hex
+from regulith.functions.text import sha256_hex, strip
+from regulith.operators import parted
 from regulith.plans import chunking
 from regulith.session import scratch_path
 from regulith.streaming import keyed, runner, usage
@@ -58,12 +59,16 @@ def _(v):
     return runner.run_append(keyed.trailing_quota_stream(_events(v), "event_type", "event_id", 3600, 30, "10 minutes"), "trailing")
 
 
-@query("t3_dedup_stream", "select distinct sha256(html) checksum from pages")
+@query("t3_dedup_stream", "select sha256(html) checksum, <<t:timestamp '2024-01-01 00:00:00' + cast(min(page_id) as int) * interval '1' minute>> fetched_at, 'first' run from pages group by 1")
 def _(v):
-    pages = runner.file_stream(v.spark, v.dir, "pages.parquet", v("pages").schema)
-    fetched = F.timestamp_seconds(F.lit(1704067200) + F.col("page_id") * 60)
-    rows = pages.select(sha256_hex("html").alias("checksum"), fetched.alias("fetched_at"))
-    return runner.run_append(usage.stream_dedup(rows, ["checksum"], "fetched_at", "3650 days"), "dedup").select("checksum")
+    """Two streams over the same pages into one table: the second finds every checksum stored."""
+    target = scratch_path(v.spark, "seen")
+    for run in ("first", "second"):
+        pages = runner.file_stream(v.spark, v.dir, "pages.parquet", v("pages").schema)
+        fetched = F.timestamp_seconds(F.lit(1704067200) + F.col("page_id") * 60)
+        rows = pages.select(sha256_hex("html").alias("checksum"), fetched.alias("fetched_at"))
+        out = runner.dedup_stream(rows, target, "checksum", ["fetched_at"], run)
+    return out.select("checksum", "fetched_at", "run")
 
 
 JOB_STATE = """select job_id, case when arg_max(status, (occurred_at, event_id)) = 'failed' and count(*) filter (status = 'failed') <= 3 then 'pending' else arg_max(status, (occurred_at, event_id)) end status,
@@ -121,6 +126,35 @@ def _(v):
     return out.select("chunk_id", "doc_id", "pos", "token_count", "clause_type", "change")
 
 
+SECTIONS = """(select doc_id, unnest(range(1, len(p) + 1)) ordinal, trim(unnest(p), chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') content from (select doc_id, string_split(text, chr(10)) p from documents))"""
+
+
+@query("t7_ingest_sections", f"""select doc_id, ordinal, length(content) n_chars, 'inserted' change from {SECTIONS} where content <> ''
+ union all select doc_id, 0 ordinal, length(text) n_chars, 'inserted' change from documents where text is not null""")
+def _(v):
+    """Documents and their lines, merged by partition as they arrive."""
+    docs = runner.file_stream(v.spark, v.dir, "documents.parquet", v("documents").schema)
+    parts = F.concat(F.array("text"), F.split("text", "\\n", -1))
+
+    def sections(batch):
+        rows = batch.filter("text is not null").select("doc_id", F.posexplode(parts).alias("ordinal", "part"))
+        return rows.select("doc_id", "ordinal", F.when(F.col("ordinal") == 0, F.col("part")).otherwise(strip("part")).alias("content")).filter("ordinal = 0 or content <> ''")
+
+    out = runner.ingest_stream(docs, sections, scratch_path(v.spark, "sections"), ["doc_id", "ordinal"], ["content"], AS_OF, order="content", owner="doc_id")
+    return out.select("doc_id", "ordinal", F.length("content").alias("n_chars"), "change")
+
+
+@query("m5_delete_by_partition", f"select doc_id, ordinal, length(content) n_chars from {SECTIONS} where content <> '' and doc_id % 7 <> 3")
+def _(v):
+    """Lines merged into a partitioned table, then those of some documents deleted in their partitions."""
+    lines = v.dealt("documents").select("doc_id", F.posexplode(F.split("text", "\\n", -1)).alias("pos", "part"))
+    lines = lines.select("doc_id", (F.col("pos") + 1).alias("ordinal"), strip("part").alias("content")).filter("content <> ''")
+    target = scratch_path(v.spark, "lines")
+    parted.merge_into(target, lines, ["doc_id", "ordinal"], ["content"], "doc_id", AS_OF, "content")
+    parted.delete_from(target, v("documents").filter("doc_id % 7 = 3"), "doc_id", v.spark)
+    return v.spark.read.parquet(target).select("doc_id", "ordinal", F.length("content").alias("n_chars"))
+
+
 @query("t8_trace_sessions", """select trace_id, <<i:session>> "session", <<t:min(created_at)>> started_at, <<t:max(created_at)>> ended_at, count(*) entries from (select *, sum(fresh) over (partition by trace_id order by created_at, log_id) "session"
  from (select *, case when created_at - lag(created_at) over (partition by trace_id order by created_at, log_id) < interval '1800' second then 0 else 1 end fresh from query_log_v)) group by trace_id, "session" """)
 def _(v):

@@ -68,6 +68,22 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def _file_system(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    system, target = _file_system(spark, path)
+    return system.exists(target)
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Remove a folder of the shared store, if there."""
+    system, target = _file_system(spark, path)
+    system.delete(target, True)
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Cut lineage by writing a table in the shared folder and reading it back.
 

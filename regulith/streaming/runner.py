@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regulith.operators.maintenance import upsert
+from regulith.operators import parted
 from regulith.operators.windows import latest_per_key
 from regulith.session import scratch_path
 
@@ -49,29 +49,36 @@ def run_update(stream: DataFrame, keys: list[str], label: str, path: str | None
 
 
 def ingest_stream(stream: DataFrame, transform: Callable[[DataFrame], DataFrame], target: str, keys: list[str], cols: list[str],
-                  as_of: dt.datetime, order: str | list[str], owner: str | None = None) -> DataFrame:
-    """Documents arriving as files -> the same transforms as in batch -> upsert.
+                  as_of: dt.datetime, order: str | list[str], owner: str, parts: int = 16) -> DataFrame:
+    """Documents arriving as files -> the same transforms as in batch -> merge into the table at ``target``.
 
-    Version n of the table is built from version n - 1 and batch n; a repeated batch rebuilds the same
-    version. Of equal keys in a batch the row last by ``order`` wins. Rows of an ``owner`` that arrives again are replaced
-    as a whole, so a document that became shorter leaves no chunks behind.
+    A batch rewrites the partitions of its owners only (``parted.merge_into``). Of equal keys in a batch the row last by
+    ``order`` wins. Rows of an owner that arrives again are replaced as a whole, so a document that became shorter
+    leaves no chunks behind. The checkpoint lies beside the table: the same target resumes where it stands.
     """
     spark = stream.sparkSession
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        new = transform(batch).select(*keys, *cols)
-        if batch_id == 0:
-            current = new.limit(0)
-        else:
-            current = spark.read.parquet(f"{target}/version={batch_id - 1}").select(*keys, *cols)
-        if owner is not None:
-            again = batch.select(owner).distinct()
-            stale = current.join(again, owner, "left_semi").join(new.select(*keys), keys, "left_anti")
-            current = current.join(stale.select(*keys), keys, "left_anti")
-        merged, _ = upsert(current, new, keys, cols, as_of, order)
-        merged.write.mode("overwrite").parquet(f"{target}/version={batch_id}")
+        made = f"{target}-made"
+        transform(batch).select(*keys, *cols).write.mode("overwrite").parquet(made)
+        parted.merge_into(target, spark.read.parquet(made), keys, cols, owner, as_of, order, parts, batch.select(owner), batch_id)
 
     query = stream.writeStream.option("checkpointLocation", f"{target}-checkpoint").trigger(availableNow=True).foreachBatch(merge).start()
     query.awaitTermination()
-    last = query.lastProgress
-    return spark.read.parquet(f"{target}/version={last['batchId'] if last else 0}")
+    return spark.read.parquet(target)
+
+
+def dedup_stream(stream: DataFrame, target: str, key: str, order: list[str], run: str = "main", parts: int = 16) -> DataFrame:
+    """Rows whose key the table at ``target`` does not hold yet, stored there; returns the table.
+
+    What was seen is the table itself, not state of the stream: it may be as old as the table and other streams may have
+    written it. Streams of several ``run`` names share a target; each resumes at its own checkpoint.
+    """
+    spark = stream.sparkSession
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        parted.append_unseen(target, batch, key, [F.col(c) for c in order], run, batch_id, parts)
+
+    query = stream.writeStream.option("checkpointLocation", f"{target}-checkpoint-{run}").trigger(availableNow=True).foreachBatch(store).start()
+    query.awaitTermination()
+    return spark.read.parquet(target)

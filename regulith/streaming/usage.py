@@ -50,11 +50,6 @@ def live_stats(events: DataFrame, by: str, value: str, success) -> DataFrame:
     ).withColumn("avg_value", F.try_divide("_sum", "successes")).drop("_sum")
 
 
-def stream_dedup(stream: DataFrame, keys: list[str], ts: str, delay: str) -> DataFrame:
-    """Drop rows whose key was seen within the delay."""
-    return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys)
-
-
 def job_state(events: DataFrame, max_retries: int = 3) -> DataFrame:
     """Current state per job folded from its events: latest status, failures, retry decision.
 
