@@ -1,10 +1,11 @@
 """Line dedup with a fixed-depth template tree, in DataFrame operations only.
 
-A line goes down the tree by its number of tokens and its leading tokens, digits masked, to a leaf. The leaf's first line
-(by document and place) is its template; lines that agree with it on enough tokens belong to it, the tokens that differ
-being its variable fields. Other lines of the leaf are templates of their own, with digits as variable fields. Templates
-found in several documents recur: their lines are dropped, except in the document of smallest id. Tokens are compared by
-16 bits of a hash, which takes two different tokens for equal once in 65,536 times.
+A line goes down the tree by its number of tokens and its leading tokens, digits masked, to a leaf. In a leaf a token is a
+constant of its place if lines of several documents have it there; the other tokens are variable fields. Lines of a leaf
+with the same constants at the same places share a template, as long as enough of the tokens after the leading ones are
+constant; other lines stand for themselves. Which lines share a template depends on the lines of their leaf that have
+tokens in common with them, on neither order nor unrelated lines. Templates found in several documents recur: their lines are
+dropped, except in the document of smallest id. Tokens are compared by 32 bits of a hash.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from regulith.llm.graphs import Scratch
+from regulith.session import materialise
 
 SPACE = "[\\x20\\x09-\\x0D]+"
 
@@ -26,14 +27,10 @@ def masked(line: Column) -> Column:
     return F.when(line.rlike("[0-9]"), F.regexp_replace(plain, "[0-9]+", "<*>")).otherwise(plain)
 
 
-def marks(line: Column) -> Column:
-    """Sixteen bits of the hash of each token: what two lines are compared by, so that their text need not move."""
-    return F.transform(F.split(line, " "), lambda t: (F.pmod(F.xxhash64(t), F.lit(1 << 16)) - (1 << 15)).cast("smallint"))
-
-
-def agreement(one: Column, other: Column) -> Column:
-    """Number of equal tokens, place by place."""
-    return F.aggregate(F.zip_with(one, other, lambda a, b: (a == b).cast("int")), F.lit(0), lambda total, x: total + x)
+def marks(line: Column, depth: int) -> Column:
+    """32 bits of the hash of each token after the leading ones: what lines are compared by, so that their text need not move."""
+    tokens = F.split(line, " ")
+    return F.transform(F.slice(tokens, depth + 1, F.greatest(F.size(tokens) - depth, F.lit(0))), lambda t: F.hash(t))
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
@@ -51,28 +48,38 @@ def drop_recurring_lines(
 ) -> DataFrame:
     """The rows with recurring lines taken out of their text, and n_lines and n_dropped.
 
-    A template recurs if it is found in ``least_docs`` documents or more. Lines are parted by \\n; lines without a token stay.
-    All columns are kept (n_lines and n_dropped replace columns of these names); working columns have names of their own.
-    Null texts stay null, empty texts empty, both with no line dropped. A null id ranks after all others. Rows that repeat an
-    id count as one document. An empty table gives no rows.
+    A token is a constant of its place if the documents of the leaf's distinct lines that have it there add up to ``least_docs``;
+    a template needs constants at ``similar_percent`` of the places after the first ``depth``. It recurs if it is found in
+    ``least_docs`` documents or more. Lines are parted by \\n; lines without a token stay. All columns are kept (n_lines and
+    n_dropped replace columns of these names); working columns have names of their own. Null texts stay null, empty texts
+    empty, both with no line dropped. A null id ranks after all others. Rows that repeat an id count as one document. Very
+    long texts are split into lines like others. An empty table gives no rows.
     """
     key, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
     lines = docs.select(key.alias("_id"), F.xxhash64(text).alias("_hash"), F.posexplode(F.split(text, "\n", -1)).alias("_pos", "_line"))
     lines = lines.select("_id", "_hash", "_pos", masked(F.col("_line")).alias("_mask")).where("_mask <> ''")
     count = F.length("_mask") - F.length(F.replace("_mask", F.lit(" "), F.lit(""))) + 1
-    lines = lines.select(
-        "_id", "_hash", "_pos", F.xxhash64("_mask").alias("_own"), marks(F.col("_mask")).alias("_marks"),
-        F.xxhash64(count, F.substring_index("_mask", " ", depth)).alias("_leaf"))
-
-    place = F.struct(F.col("_id").isNull(), F.col("_id"), F.col("_pos"), F.col("_hash"))
+    leaf, own = F.xxhash64(count, F.substring_index("_mask", " ", depth)).alias("_leaf"), F.xxhash64("_mask").alias("_own")
     docs_of = F.struct(F.col("_id").isNull(), F.col("_id"))
-    leaves = lines.groupBy("_leaf").agg(F.min_by("_marks", place).alias("_head"), F.min(docs_of).alias("_low"), F.max(docs_of).alias("_high"))
-    leaves = leaves.where("_low <> _high").select("_leaf", "_head")  # a leaf of one document holds nothing that recurs
 
-    shared = lines.join(leaves, "_leaf")
-    near = 100 * agreement(F.col("_marks"), F.col("_head")) >= similar_percent * F.size("_marks")
-    shared = shared.withColumn("_template", F.when(near, F.xxhash64("_leaf")).otherwise(F.xxhash64("_leaf", "_own"))).select("_id", "_hash", "_pos", "_template")
-    shared, _ = Scratch(docs.sparkSession).keep(shared, "lines")  # four numbers a line, for leaves of several documents
+    # Leaves of several documents: a leaf of one holds nothing that recurs. Those of several lines have something to compare.
+    leaves = lines.select("_id", leaf, own).groupBy("_leaf").agg(
+        F.min(docs_of).alias("_low"), F.max(docs_of).alias("_high"), (F.min("_own") != F.max("_own")).alias("_several"))
+    leaves = materialise(leaves.where("_low <> _high").select("_leaf", "_several"), "leaves")
+    shared = lines.select("_id", "_hash", "_pos", leaf, own, marks(F.col("_mask"), depth).alias("_marks")).join(leaves, "_leaf")
+    shared = materialise(shared.withColumn("_marks", F.when(F.col("_several"), F.col("_marks"))).drop("_several"), "lines")
+
+    forms = shared.where("_marks is not null").groupBy("_leaf", "_own", "_id").agg(F.any_value("_marks").alias("_marks"))
+    forms = forms.groupBy("_leaf", "_own").agg(F.least(F.count(F.lit(1)), F.lit(least_docs)).alias("_n"), F.any_value("_marks").alias("_marks"))
+    forms = materialise(forms, "forms")
+    places = forms.select("_leaf", "_own", "_n", F.size("_marks").alias("_rest"), F.posexplode("_marks").alias("_at", "_mark"))
+    fixed = places.groupBy("_leaf", "_at", "_mark").agg(F.sum("_n").alias("_n")).where(F.col("_n") >= least_docs).select("_leaf", "_at", "_mark")
+    held = places.join(fixed, ["_leaf", "_at", "_mark"]).groupBy("_leaf", "_own", "_rest").agg(
+        F.count(F.lit(1)).alias("_fixed"), F.bit_xor(F.xxhash64("_at", "_mark")).alias("_pattern"))
+    held = held.where(100 * F.col("_fixed") >= similar_percent * F.col("_rest")).select("_leaf", "_own", F.xxhash64("_leaf", "_fixed", "_pattern").alias("_template"))
+
+    template = F.coalesce("_template", F.xxhash64("_leaf", "_own"))
+    shared = shared.drop("_marks").join(held, ["_leaf", "_own"], "left").select("_id", "_hash", "_pos", template.alias("_template"))
     templates = shared.select("_template", "_id").distinct().groupBy("_template").agg(F.count(F.lit(1)).alias("_docs"), F.min(docs_of).alias("_first"))
     templates = templates.where(F.col("_docs") >= least_docs).select("_template", F.col("_first")["_id"].alias("_first"))
     dropped = shared.join(templates, "_template").where(~F.col("_id").eqNullSafe(F.col("_first")))

@@ -141,10 +141,12 @@ with l0 as (select doc_id, text, unnest(string_split(text, chr(10))) line, unnes
  l1 as (select *, regexp_replace(trim(regexp_replace(line, '[\\x20\\x09-\\x0D]+', ' ', 'g'), ' '), '[0-9]+', '<*>', 'g') mask from l0),
  l2 as (select *, string_split(mask, ' ') tokens from l1 where mask <> ''),
  l3 as (select *, len(tokens) n, array_to_string(tokens[1:3], ' ') lead from l2),
- l4 as (select *, first_value(mask) over w head, min(doc_id) over (partition by n, lead) low, max(doc_id) over (partition by n, lead) high
-  from l3 window w as (partition by n, lead order by doc_id, pos)),
- l5 as (select *, case when 100 * list_sum([case when tokens[i] = string_split(head, ' ')[i] then 1 else 0 end for i in range(1, n + 1)]) >= 60 * n then '' else mask end own
-  from l4 where low <> high),
+ s as (select * from l3 where (n, lead) in (select (n, lead) from l3 group by n, lead having min(doc_id) <> max(doc_id))),
+ form as (select n, lead, mask, any_value(tokens) tokens, least(3, count(distinct doc_id)) docs from s group by n, lead, mask),
+ place as (select n, lead, mask, docs, unnest(range(4, n + 1)) i, unnest(tokens[4:n]) token from form),
+ fixed as (select n, lead, i, token from place group by n, lead, i, token having sum(docs) >= 3),
+ held as (select n, lead, mask, string_agg(concat(i, ' ', token), chr(10) order by i) pattern from place join fixed using (n, lead, i, token) group by n, lead, mask having 100 * count(*) >= 60 * (n - 3)),
+ l5 as (select s.doc_id, s.pos, s.n, s.lead, coalesce(chr(10) || pattern, s.mask) own from s left join held using (n, lead, mask)),
  t as (select n, lead, own, min(doc_id) first from l5 group by n, lead, own having count(distinct doc_id) >= 3),
  dropped as (select l5.doc_id, l5.pos from l5 join t using (n, lead, own) where l5.doc_id <> t.first),
  kept as (select l0.doc_id, string_agg(l0.line, chr(10) order by l0.pos) text, count(*) n from l0 left join dropped d on d.doc_id = l0.doc_id and d.pos = l0.pos where d.pos is null group by l0.doc_id)
