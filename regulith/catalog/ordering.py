@@ -8,6 +8,7 @@ from regulith.catalog.base import ORDERS_AS_OF, query
 from regulith.catalog.joins import case_any
 from regulith.functions.scoring import jaccard_words
 from regulith.operators import windows as w
+from regulith.operators.scans import page
 from regulith.plans.policy import topic_group
 from regulith.sources import vocab
 
@@ -79,6 +80,14 @@ def _(v):
     return w.page_signals(v("signal_v"), 20, 40).select("signal_id", "relevance_score")
 
 
+@query("k3_deep_page", "select l_orderkey, l_linenumber, <<r:l_extendedprice>> l_extendedprice, 50000 + row_number() over () position from (select * from lineitem order by l_extendedprice desc, l_orderkey, l_linenumber limit 50 offset 50000)")
+def _(v):
+    """A page far down a large table."""
+    order = [F.col("l_extendedprice").desc(), F.col("l_orderkey"), F.col("l_linenumber")]
+    rows = v("lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    return page(rows, order, 50, 50_000).select("l_orderkey", "l_linenumber", "l_extendedprice", "position")
+
+
 @query("k5_upcoming_deadlines", "select signal_id, <<d:deadline_date>> deadline_date from signal_v where deadline_date <= date '1998-07-01' and deadline_date >= date '1998-06-01' order by deadline_date, signal_id limit 5")
 def _(v):
     return w.upcoming_deadlines(v("signal_v"), ORDERS_AS_OF.date(), lower=ORDERS_AS_OF.date()).select("signal_id", "deadline_date")

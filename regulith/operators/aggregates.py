@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from regulith.functions.scoring import combined_confidence
 from regulith.functions.urls import doc_format
 from regulith.operators.filters import recent, stale_sources
+from regulith.operators.scans import quantiles
 from regulith.operators.windows import share_of_total, topk_per_key
 from regulith.sources import vocab
 
@@ -149,15 +150,9 @@ def ocr_metrics(jobs: DataFrame, by: list[str] = ()) -> DataFrame:
 
 
 def latency_percentiles(df: DataFrame, value: str, by: list[str] = (), probs=(0.5, 0.95, 0.99)) -> DataFrame:
-    """Exact percentiles with linear interpolation over the non-zero values.
-
-    Values are first counted: the aggregate buffer then holds one entry per distinct value, and a
-    hot group reaches its reducer already folded.
-    """
-    counted = df.filter(F.col(value).isNotNull() & (F.col(value) != 0)).groupBy(*by, value).agg(F.count("*").alias("_n"))
-    p = F.percentile(F.col(value), F.array(*[F.lit(x) for x in probs]), F.col("_n"))
-    out = counted.groupBy(*by).agg(p.alias("_p"), F.sum("_n").alias("n"))
-    return out.select(*by, "n", *[F.col("_p")[i].alias(f"p{round(x * 100)}") for i, x in enumerate(probs)])
+    """Exact percentiles with linear interpolation over the non-zero values; groups may hold any share of them (``scans.quantiles``)."""
+    found = quantiles(df.filter(F.col(value) != 0), value, list(by), tuple(probs))
+    return found.select(*by, "n", *[F.col(f"q{i}").alias(f"p{round(x * 100)}") for i, x in enumerate(probs)])
 
 
 # Service level targets.

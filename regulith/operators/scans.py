@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from regulith.session import materialise
+from regulith.session import materialise, scratch_path
 
 SEGMENT = "_segment"
 
@@ -47,3 +47,56 @@ def positions(df: DataFrame, *order: Column, name: str = "position", label: str
     cut = range_segments(df, *order, label=label)
     place = running_sums(cut, [], list(order), {name: F.lit(1)})
     return place.withColumn(name, F.col(name) + 1).drop(SEGMENT)
+
+
+def page(df: DataFrame, order: list[Column], limit: int, offset: int = 0, label: str = "page") -> DataFrame:
+    """Rows ``offset`` + 1 to ``offset`` + ``limit`` of the table's order, with their ``position``.
+
+    Counts of the slices tell which of them the page touches; only those are read and numbered, so what moves is the page,
+    however far it lies. The counts, one row a slice, reach the driver.
+    """
+    path = scratch_path(df.sparkSession, label)
+    cut = df.repartitionByRange(*order).withColumn(SEGMENT, F.spark_partition_id())
+    cut.write.partitionBy(SEGMENT).parquet(path)
+    cut = df.sparkSession.read.schema(cut.schema).parquet(path)
+    before, touched = 0, {}
+    for segment, n in sorted(cut.groupBy(SEGMENT).count().collect()):
+        if before < offset + limit and before + n > offset:
+            touched[segment] = before
+        before += n
+    held = cut.filter(F.col(SEGMENT).isin(list(touched)))
+    start = F.create_map(*(F.lit(x) for pair in touched.items() for x in pair)) if touched else F.create_map(F.lit(0), F.lit(0))
+    place = F.row_number().over(W.partitionBy(SEGMENT).orderBy(*order)) + F.element_at(start, F.col(SEGMENT))
+    return held.withColumn("position", place).filter(f"position > {offset} and position <= {offset + limit}").drop(SEGMENT).orderBy("position")
+
+
+def group_key(by: list[str]) -> Column:
+    """One column that tells groups apart, also where some of their columns are null."""
+    return F.struct(*by) if by else F.lit(0)
+
+
+def quantiles(df: DataFrame, value: str, by: list[str], probs: tuple[float, ...]) -> DataFrame:
+    """by, n and q0, q1, ...: exact quantiles with linear interpolation of the non-null values, one row a group.
+
+    Values are counted, the distinct ones cut into slices of the order (group, value), and the counts below each summed up.
+    A rank lies at the value whose counts span it, so each quantile is picked by a filter and a partial aggregate: no task
+    holds the values of a group.
+    """
+    counted = df.filter(F.col(value).isNotNull()).groupBy(group_key(by).alias("_g"), F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    cut = range_segments(counted, F.col("_g"), F.col("_v"), label="quantiles")
+    ranked = running_sums(cut, ["_g"], [F.col("_v")], {"_below": F.col("_n")})
+    sizes = cut.groupBy("_g").agg(F.sum("_n").alias("n"))
+    rows = ranked.join(sizes, "_g")
+    at = lambda rank: F.max(F.when((F.col("_below") <= rank) & (rank < F.col("_below") + F.col("_n")), F.col("_v")))
+    picks = []
+    for i, p in enumerate(probs):
+        place = (F.col("n") - 1) * F.lit(float(p))
+        picks += [at(F.floor(place)).alias(f"_lo{i}"), at(F.ceil(place)).alias(f"_hi{i}")]
+    found = rows.groupBy("_g", "n").agg(*picks)
+    out = []
+    for i, p in enumerate(probs):
+        place = (F.col("n") - 1) * F.lit(float(p))
+        low, high = F.floor(place), F.ceil(place)
+        mixed = (high - place) * F.col(f"_lo{i}") + (place - low) * F.col(f"_hi{i}")
+        out.append(F.when(low == high, F.col(f"_lo{i}").cast("double")).otherwise(mixed).alias(f"q{i}"))
+    return found.select(*(F.col(f"_g.{c}").alias(c) for c in by), "n", *out)

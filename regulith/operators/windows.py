@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from regulith.functions.scoring import any_of
 from regulith.operators.joins import rank_of
+from regulith.operators.scans import SEGMENT, group_key, page, range_segments, running_sums
 from regulith.session import col
 from regulith.sources import vocab
 
@@ -37,38 +38,23 @@ def last_n(df: DataFrame, ts: str, tie: str, n: int = 1000) -> DataFrame:
     return df.orderBy(F.col(ts).desc(), F.col(tie).desc()).limit(n)
 
 
-def running_average(df: DataFrame, keys: list[str], ts: str, tie: str, value: str, bucket: str = "hour") -> DataFrame:
-    """Average of all rows of the key up to each row.
+def running_average(df: DataFrame, keys: list[str], ts: str, tie: str, value: str) -> DataFrame:
+    """Average of all rows of the key up to each row, by sums over slices of equal row counts: a key may hold most rows."""
+    named = df.withColumn("_g", group_key(keys)).withColumn("_x", F.col(value).cast("double"))
+    cut = range_segments(named, F.col("_g"), F.col(ts), F.col(tie), label="running-average")
+    none = F.coalesce("_x", F.lit(0.0))
+    counted = F.col("_x").isNotNull().cast("bigint")
+    summed = running_sums(cut, ["_g"], [F.col(ts), F.col(tie)], {"_s": none, "_n": counted})
+    average = F.try_divide(F.col("_s") + none, F.col("_n") + counted)
+    return summed.withColumn("running_avg", average).select(*df.columns, "running_avg")
 
-    The history is split into time buckets: inside a bucket a window runs over its rows, and the
-    earlier buckets enter as one pre-aggregated offset. A hot key is spread over its buckets.
-    """
-    base = df.withColumn("_b", F.date_trunc(bucket, F.col(ts)))
-    totals = base.groupBy(*keys, "_b").agg(F.sum(value).alias("_s"), F.count(value).alias("_n"))
-    before = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    offsets = totals.select(
-        *keys, "_b", F.coalesce(F.sum("_s").over(before), F.lit(0.0)).alias("_s0"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n0")
-    )
-    within = W.partitionBy(*keys, "_b").orderBy(ts, tie).rowsBetween(W.unboundedPreceding, 0)
-    total = F.coalesce(F.sum(value).over(within), F.lit(0.0)) + F.col("_s0")
-    n = F.count(value).over(within) + F.col("_n0")
-    return base.join(offsets, [*keys, "_b"]).withColumn("running_avg", F.try_divide(total, n)).drop("_b", "_s0", "_n0")
-
-
-def cumulative_offsets(chunks: DataFrame, doc_id: str = "doc_id", order: str = "pos", content: str = "content", rows_per_slice: int = 10_000) -> DataFrame:
-    """Start and end of each chunk in the concatenation of its document's chunks.
-
-    A document is cut into slices of positions, so one that holds most chunks is spread; the length of
-    the earlier slices enters as an offset.
-    """
-    base = chunks.withColumn("_len", F.length(content)).withColumn("_b", F.floor(F.col(order) / rows_per_slice))
-    totals = base.groupBy(doc_id, "_b").agg(F.sum("_len").alias("_n"))
-    before = W.partitionBy(doc_id).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    offsets = totals.select(doc_id, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    within = W.partitionBy(doc_id, "_b").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    start = F.coalesce(F.sum("_len").over(within), F.lit(0)) + F.col("_off")
-    placed = base.join(offsets, [doc_id, "_b"]).withColumn("start_char", start).withColumn("end_char", F.col("start_char") + F.col("_len"))
-    return placed.drop("_len", "_b", "_off")
+
+def cumulative_offsets(chunks: DataFrame, doc_id: str = "doc_id", order: str = "pos", content: str = "content") -> DataFrame:
+    """Start and end of each chunk in the concatenation of its document's chunks, by sums over slices of equal row counts."""
+    named = chunks.withColumn("_g", group_key([doc_id])).withColumn("_len", F.coalesce(F.length(content), F.lit(0)))
+    cut = range_segments(named, F.col("_g"), F.col(order), label="offsets")
+    placed = running_sums(cut, ["_g"], [F.col(order)], {"start_char": F.col("_len")})
+    return placed.withColumn("end_char", F.col("start_char") + F.col("_len")).drop("_len", "_g", SEGMENT)
 
 
 def with_ordinal(df: DataFrame, array_col: str, keep: list[str]) -> DataFrame:
@@ -108,7 +94,7 @@ def latest_citations(df: DataFrame, limit: int) -> DataFrame:
 
 def page_signals(df: DataFrame, limit: int, offset: int = 0) -> DataFrame:
     order = [F.col("relevance_score").desc(), F.col("published_date").desc(), F.col("signal_id")]
-    return df.orderBy(*order).offset(offset).limit(limit)
+    return page(df, order, limit, offset).drop("position")
 
 
 def top_scored(df: DataFrame, k: int = 3) -> DataFrame:

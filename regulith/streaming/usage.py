@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from regulith.operators.scans import group_key, range_segments, running_sums
+
 WATERMARK = "10 minutes"
 
 
@@ -26,20 +28,21 @@ def sliding_usage(events: DataFrame, key: str, window: str, slide: str, limit: i
     return counted.select(key, F.col("w.start").alias("start"), "requests", (F.col("requests") > limit).alias("over_quota"))
 
 
-def trailing_usage(events: DataFrame, key: str, tie: str, seconds: int, limit: int, ts: str = "ts", per_slice: int = 60) -> DataFrame:
+def trailing_usage(events: DataFrame, key: str, tie: str, seconds: int, limit: int, ts: str = "ts") -> DataFrame:
     """Requests of the key in the ``seconds`` up to each request, exactly.
 
-    Time is cut into slices; the rows near the end of a slice are repeated in the next one as context.
-    The window then runs per key and slice, so a hot key is spread over its slices.
+    Each request puts three marks on its key's time line: itself, one after all requests of its time, and one before all
+    that are ``seconds`` older. The difference of the requests counted up to the latter two is its use. Counts run over
+    slices of equal numbers of marks, so a key, or a moment, may hold most of them.
     """
-    micros = F.unix_micros(ts)
-    width, reach = seconds * per_slice * 1_000_000, seconds * 1_000_000
-    own = F.floor(micros / width)
-    near_end = (own + 1) * width - micros <= reach
-    copies = F.when(near_end, F.array(own, own + 1)).otherwise(F.array(own))
-    rows = events.select(key, tie, ts, micros.alias("_us"), own.alias("_own"), F.explode(copies).alias("_slice"))
-    w = W.partitionBy(key, "_slice").orderBy("_us").rangeBetween(-reach, 0)
-    used = rows.withColumn("used", F.count("*").over(w)).filter("_slice = _own")
+    us, reach = F.unix_micros(ts), seconds * 1_000_000
+    mark = lambda at, kind, sign: F.struct(at.alias("_at"), F.lit(kind).alias("_kind"), F.lit(sign).alias("_sign"))
+    marks = F.explode(F.array(mark(us - reach, 0, -1), mark(us, 1, 0), mark(us, 2, 1)))
+    rows = events.withColumn("_g", group_key([key])).select(key, tie, ts, "_g", marks.alias("_m")).select(key, tie, ts, "_g", "_m.*")
+    order = [F.col("_at"), F.col("_kind"), F.col(tie)]
+    cut = range_segments(rows, F.col("_g"), *order, label="marks")
+    counted = running_sums(cut, ["_g"], order, {"_n": (F.col("_kind") == 1).cast("bigint")})
+    used = counted.filter("_sign <> 0").groupBy(key, tie, ts).agg(F.sum(F.col("_sign") * F.col("_n")).alias("used"))
     return used.select(key, tie, ts, "used", (F.col("used") > limit).alias("over_quota"))
 
 

@@ -72,7 +72,7 @@ def test_trailing_quota_equals_its_batch_twin(spark, tmp_path):
     out = runner.run_append(keyed.trailing_quota_stream(stream, "key", "event_id", 60, 4, "15 minutes", per_slice=5), "quota", path=str(tmp_path / "out"))
     got = {(r.event_id, r.used, r.over_quota) for r in out.collect()}
     table = spark.createDataFrame(rows, schema)
-    twin = usage.trailing_usage(table, "key", "event_id", 60, 4, per_slice=5)
+    twin = usage.trailing_usage(table, "key", "event_id", 60, 4)
     closed = rows[-1][2] - dt.timedelta(minutes=15)
     want = {(r.event_id, r.used, r.over_quota) for r in twin.where(F.col("ts") < F.lit(closed)).collect()}
     assert got == want and any(r[2] for r in got)

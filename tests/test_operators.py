@@ -48,13 +48,13 @@ def test_hot_key_running_average(spark):
 
 def test_hot_key_trailing_usage(spark):
     rows = spark.range(500).select(F.lit("hot").alias("k"), "id", F.timestamp_micros(F.col("id") * 7_000_000).alias("ts"))
-    got = {r.id: r.used for r in usage.trailing_usage(rows, "k", "id", 60, 5, per_slice=2).collect()}
+    got = {r.id: r.used for r in usage.trailing_usage(rows, "k", "id", 60, 5).collect()}
     assert got == {i: min(i, 8) + 1 for i in range(500)}
 
 
 def test_hot_document_offsets(spark):
     rows = spark.range(50).select(F.lit(1).alias("doc_id"), F.col("id").alias("pos"), F.repeat(F.lit("x"), (F.col("id") % 4 + 1).cast("int")).alias("content"))
-    got = {r.pos: (r.start_char, r.end_char) for r in windows.cumulative_offsets(rows, rows_per_slice=7).collect()}
+    got = {r.pos: (r.start_char, r.end_char) for r in windows.cumulative_offsets(rows).collect()}
     at = 0
     for i in range(50):
         assert got[i] == (at, at + i % 4 + 1)
