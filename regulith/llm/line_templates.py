@@ -3,9 +3,10 @@
 A line goes down the tree by its number of tokens and its leading tokens, digits masked, to a leaf. In a leaf a token is a
 constant of its place if lines of several documents have it there; the other tokens are variable fields. Lines of a leaf
 with the same constants at the same places share a template, as long as enough of the tokens after the leading ones are
-constant; other lines stand for themselves. Which lines share a template depends on the lines of their leaf that have
-tokens in common with them, on neither order nor unrelated lines. Templates found in several documents recur: their lines are
-dropped, except in the document of smallest id. Tokens are compared by 32 bits of a hash.
+constant; other lines stand for themselves. Templates found in several documents recur. A template that does not, but has all
+constants of one that does save one, belongs to it (to each such). Lines of recurring templates are dropped, except in the document of
+smallest id. Which lines share a template depends on the lines of their leaf that have tokens in common with them, on neither
+order nor unrelated lines. Tokens are compared by 32 bits of a hash.
 """
 
 from __future__ import annotations
@@ -76,12 +77,27 @@ def drop_recurring_lines(
     fixed = places.groupBy("_leaf", "_at", "_mark").agg(F.sum("_n").alias("_n")).where(F.col("_n") >= least_docs).select("_leaf", "_at", "_mark")
     held = places.join(fixed, ["_leaf", "_at", "_mark"]).groupBy("_leaf", "_own", "_rest").agg(
         F.count(F.lit(1)).alias("_fixed"), F.bit_xor(F.xxhash64("_at", "_mark")).alias("_pattern"))
-    held = held.where(100 * F.col("_fixed") >= similar_percent * F.col("_rest")).select("_leaf", "_own", F.xxhash64("_leaf", "_fixed", "_pattern").alias("_template"))
+    held = held.where(100 * F.col("_fixed") >= similar_percent * F.col("_rest")).withColumn("_template", F.xxhash64("_leaf", "_fixed", "_pattern"))
+    held = materialise(held.drop("_rest"), "held")
 
     template = F.coalesce("_template", F.xxhash64("_leaf", "_own"))
-    shared = shared.drop("_marks").join(held, ["_leaf", "_own"], "left").select("_id", "_hash", "_pos", template.alias("_template"))
-    templates = shared.select("_template", "_id").distinct().groupBy("_template").agg(F.count(F.lit(1)).alias("_docs"), F.min(docs_of).alias("_first"))
-    templates = templates.where(F.col("_docs") >= least_docs).select("_template", F.col("_first")["_id"].alias("_first"))
+    shared = shared.drop("_marks").join(held.select("_leaf", "_own", "_template"), ["_leaf", "_own"], "left").select("_id", "_hash", "_pos", template.alias("_template"))
+    counted = shared.select("_template", "_id").distinct().groupBy("_template").agg(F.count(F.lit(1)).alias("_docs"), F.min(docs_of).alias("_first"))
+    counted = materialise(counted, "templates")
+    recurs = counted.where(F.col("_docs") >= least_docs)
+
+    # Templates that lack one constant of a recurring one, found by what its constants add up to without that.
+    whole = held.join(recurs.select("_template"), "_template", "left_semi").groupBy("_template").agg(F.min(F.struct("_leaf", "_own", "_fixed", "_pattern")).alias("_w"))
+    whole = whole.select(F.col("_template").alias("_of"), "_w.*")
+    less = places.join(fixed, ["_leaf", "_at", "_mark"], "left_semi").join(whole, ["_leaf", "_own"])
+    less = less.select("_of", "_leaf", (F.col("_fixed") - 1).alias("_fixed"), F.col("_pattern").bitwiseXOR(F.xxhash64("_at", "_mark")).alias("_pattern"))
+    rare = held.join(recurs.select("_template"), "_template", "left_anti").select("_template", "_leaf", "_fixed", "_pattern").distinct()
+    joined = rare.join(less, ["_leaf", "_fixed", "_pattern"]).select("_template", "_of").distinct()
+    groups = recurs.select("_template", F.col("_template").alias("_of"), "_first").union(joined.join(counted, "_template").select("_template", "_of", "_first"))
+    groups = materialise(groups, "groups")
+    first = groups.groupBy("_of").agg(F.min("_first").alias("_first"))
+    templates = materialise(groups.drop("_first").join(first, "_of").select("_template", F.col("_first")["_id"].alias("_first")), "recurring")
+
     dropped = shared.join(templates, "_template").where(~F.col("_id").eqNullSafe(F.col("_first")))
     dropped = dropped.groupBy("_id", "_hash").agg(F.collect_set("_pos").alias("_dropped"))
 

@@ -145,9 +145,14 @@ with l0 as (select doc_id, text, unnest(string_split(text, chr(10))) line, unnes
  form as (select n, lead, mask, any_value(tokens) tokens, least(3, count(distinct doc_id)) docs from s group by n, lead, mask),
  place as (select n, lead, mask, docs, unnest(range(4, n + 1)) i, unnest(tokens[4:n]) token from form),
  fixed as (select n, lead, i, token from place group by n, lead, i, token having sum(docs) >= 3),
- held as (select n, lead, mask, string_agg(concat(i, ' ', token), chr(10) order by i) pattern from place join fixed using (n, lead, i, token) group by n, lead, mask having 100 * count(*) >= 60 * (n - 3)),
- l5 as (select s.doc_id, s.pos, s.n, s.lead, coalesce(chr(10) || pattern, s.mask) own from s left join held using (n, lead, mask)),
- t as (select n, lead, own, min(doc_id) first from l5 group by n, lead, own having count(distinct doc_id) >= 3),
+ held as (select n, lead, mask, list(concat(i, ' ', token) order by i) pattern from place join fixed using (n, lead, i, token) group by n, lead, mask having 100 * count(*) >= 60 * (n - 3)),
+ l5 as (select s.doc_id, s.pos, s.n, s.lead, pattern, coalesce(chr(10) || array_to_string(pattern, chr(10)), s.mask) own from s left join held using (n, lead, mask)),
+ c as (select n, lead, own, any_value(pattern) pattern, min(doc_id) first, count(distinct doc_id) >= 3 recurs from l5 group by n, lead, own),
+ less as (select n, lead, own of_own, unnest(list_transform(range(1, len(pattern) + 1), lambda k: array_to_string(list_filter(pattern, lambda p, i: i <> k), chr(10)))) part from c where recurs and pattern is not null),
+ near as (select c.n, c.lead, c.own, c.first, less.of_own from c join less on less.n = c.n and less.lead = c.lead and c.own = chr(10) || less.part where not c.recurs and c.pattern is not null),
+ g as (select n, lead, own, own of_own, first from c where recurs union all select * from (select n, lead, own, of_own, first from near)),
+ t0 as (select n, lead, of_own, min(first) first from g group by n, lead, of_own),
+ t as (select distinct g.n, g.lead, g.own, t0.first from g join t0 using (n, lead, of_own)),
  dropped as (select l5.doc_id, l5.pos from l5 join t using (n, lead, own) where l5.doc_id <> t.first),
  kept as (select l0.doc_id, string_agg(l0.line, chr(10) order by l0.pos) text, count(*) n from l0 left join dropped d on d.doc_id = l0.doc_id and d.pos = l0.pos where d.pos is null group by l0.doc_id)
 select d.doc_id, d.lang, d.source, case when d.text is null then null else coalesce(k.text, '') end text,

@@ -69,11 +69,16 @@ def plain_templates(rows, depth=3, percent=60, least=3):
             fixed = tuple((i, tokens[i]) for i in range(depth, n) if support[i, tokens[i]] >= least)
             own = fixed if n > depth and 100 * len(fixed) >= percent * (n - depth) else ("line", tokens)
             groups.setdefault(own, []).append((key, pos))
-        for members in groups.values():
-            keys = {k for k, _ in members}
-            if len(keys) >= least:
-                first = min(keys, key=lambda k: (k is None, k))
-                gone |= {(k, p) for k, p in members if k != first}
+        docs_of = lambda own: {k for k, _ in groups[own]}
+        recurring = {own for own in groups if len(docs_of(own)) >= least}
+        merged = {own: list(groups[own]) for own in recurring}
+        for own in set(groups) - recurring:  # lacks one constant of a recurring template
+            for other in recurring:
+                if own[:1] != ("line",) and other[:1] != ("line",) and len(other) == len(own) + 1 and set(own) < set(other):
+                    merged[other] += groups[own]
+        for members in merged.values():
+            first = min({k for k, _ in members}, key=lambda k: (k is None, k))
+            gone |= {(k, p) for k, p in members if k != first}
     return gone
 
 
@@ -106,3 +111,10 @@ def test_several_templates_of_a_leaf(spark):
         rows.append((k, "\n".join([*lines, f"See also the {rng.random()} x{k} y{k} z{k} w{k} v{k} u{k}", "own line"][: 2 + k % 3]), "en", "a"))
     out = dropped(spark, rows)
     assert out[0] == rows[0][1] and out[3] == ""
+
+
+def test_a_line_may_lack_one_constant(spark):
+    rows = [(k, f"Page {k} of 9 in {'a' if k == 3 else 'the'} guide", "en", "a") for k in range(1, 6)]
+    assert dropped(spark, rows) == {1: rows[0][1], 2: "", 3: "", 4: "", 5: ""}
+    rows = [(k, f"Page {k} of 9 in {'a' if k == 1 else 'the'} guide", "en", "a") for k in range(1, 6)]
+    assert dropped(spark, rows) == {1: rows[0][1], 2: "", 3: "", 4: "", 5: ""}
