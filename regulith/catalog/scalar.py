@@ -145,11 +145,6 @@ FULL = "".join(chr(c + 0xFEE0) for c in range(0x21, 0x7F))
 HALF = "".join(chr(c) for c in range(0x21, 0x7F)).replace("'", "''")
 
 
-@query("f17_normalize_cjk")
-def _(v):
-    return v("citation_zh_v").select("doc_id", text.normalize_cjk(F.concat(F.lit("第 一 条  2024 年 3 月（Ａ）！ "), F.col("content"))).alias("t"))
-
-
 UNITS = "千瓦|兆瓦|万千瓦|千伏|万伏|千米|公里|米|厘米|毫米|吨|千克|公斤|克|升|毫升|小时|分钟|秒|年|月|日|天"
 
 
