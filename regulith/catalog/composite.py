@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from regulith.catalog import fold_sql as q
 from regulith.catalog.base import AS_OF, query
+from regulith.catalog.ontology import map_sql
 from regulith.catalog.policy import compose_sql
 from regulith.catalog.retrieval import HYBRID, stored
-from regulith.catalog.texts import layout_docs
+from regulith.catalog.scalar import strip_sql
+from regulith.catalog.texts import CHUNK_ID, LAYOUT_PARAS, ZH_TEXT, layout_docs
+from regulith.operators.aggregates import ocr_metrics
 from regulith.operators.filters import SignalFilter
 from regulith.plans import answers, ingest, quality
 from regulith.plans.ontology import Thresholds
@@ -34,9 +38,12 @@ def _(v):
     return t.logs.filter("verdict = 'ok'").select("question_id", "citation_ids")
 
 
-@query("x25_ingest_changes")
-def _(v):
-    return _ingested(v).changes
+ASSETS = f"{map_sql('province')}, best as (select * from mapped where \"rank\" = 1)"
+NEW_ID = r"regexp_replace(substr(sha256(url || ':' || sha256(content)), 1, 32), '^(.{8})(.{4})(.{4})(.{4})(.{12})$', '\1-\2-\3-\4-\5')"
+MADE = f"""paras as (select * from {LAYOUT_PARAS}), {q.chunks('paras', 200, 40, 10)},
+ made as (select doc_id, count(*) n from chunk group by doc_id),
+ job as (select z.doc_id job_id, case when len(paragraphs) = 0 then '{ingest.NO_CONTENT}' when made.n is null then '{ingest.NO_CHUNKS}' end error, dd is not null effective_date_found, coalesce(made.n, 0) chunks
+  from citation_zh_v z join paras using (doc_id) left join made using (doc_id) left join dd using (doc_id))"""
 
 
 def _ingested(v):
@@ -45,16 +52,35 @@ def _ingested(v):
     return ingest.ingest_batch(layout_docs(v), old, AS_OF, thresholds=low, max_tokens=200, overlap=40, min_clause=10)
 
 
-@query("x25_ingest_citations")
+@query("x25_ingest_changes", "select * from (select 'kept' change, count(*) \"count\" from citation_base union all select 'inserted', count(*) from citation_zh_v)")
+def _(v):
+    return _ingested(v).changes
+
+
+@query("x25_ingest_citations", f"""with {q.dates(ZH_TEXT)}, {ASSETS} select citation_id, asset, <<d:effective_date>> effective_date, checksum, 'kept' change from citation_base
+ union all select {NEW_ID} citation_id, best.asset_type asset, <<d:dd.dd>> effective_date, sha256(content) checksum, 'inserted' change from citation_zh_v z left join dd using (doc_id) left join best on best.citation_id = z.citation_id""".replace("{NEW_ID}", NEW_ID))
 def _(v):
     return _ingested(v).citations.select("citation_id", "asset", "effective_date", "checksum", "change")
 
 
-@query("x25_embedding_input")
+@query("x25_embedding_input", f"""with {MADE.replace('dd is not null', 'true').replace(' left join dd using (doc_id)', '')} select {NEW_ID.replace('content', 'z.content')} citation_id, {CHUNK_ID} chunk_id, regexp_replace({strip_sql('chunk.content')}, '\\s+', ' ', 'g') "text", 'text-embedding' model, 768 "dimension", z.province, z.doc_class
+ from chunk join citation_zh_v z using (doc_id)""")
 def _(v):
     return _ingested(v).embedding_input
 
 
+@query("x25_ingest_jobs", f"""with {q.dates(ZH_TEXT)}, {MADE} select job_id, case when error is null then 'success' else 'failed' end status, error, 1 pages_processed, 1 tables_extracted, effective_date_found, chunks from job""")
+def _(v):
+    return _ingested(v).jobs.drop("citation_id", "processing_time_ms")
+
+
+@query("x25_job_metrics", f"""with {q.dates(ZH_TEXT)}, {MADE} select count(*) total_jobs, count(*) filter (error is null) successful_jobs, count(*) filter (error is not null) failed_jobs, 0 partial_jobs, count(*) total_pages, count(*) total_tables,
+ <<r:count(*) filter (error is null) / count(*)>> success_rate, <<r:count(*) filter (effective_date_found) / count(*)>> date_hit_rate, cast(null as double) avg_processing_time_ms, 1e0 pages_per_job, 1e0 tables_per_job from job""")
+def _(v):
+    """Jobs of the ingest in the report of processing jobs."""
+    return ocr_metrics(_ingested(v).jobs)
+
+
 GOLD = """g as (select item_id question_id, text clause, 'c' || cast(item_id + item_id % 2 as varchar) expected_citation, item_id % 4 = 0 should_refuse from benchmark),
  ans as (select doc_id question_id, province, doc_class, case when doc_id % 5 = 0 then 'refused' else 'ok' end verdict, content answer_zh, citation_id from citation_base)"""
 GATES = """select t.*, p95_latency_ms, groundedness_score, refusal_accuracy, citation_precision from (select province, doc_class, count(*) total_queries, count(*) filter (verdict = 'ok') passed_queries, count(*) filter (verdict = 'refused') refused_queries, avg(latency_ms) avg_latency_ms,

@@ -182,11 +182,21 @@ def _(v):
     return f.candidate_flags(v("candidate_v"), v("allow_v")).select("candidate_id", "kept")
 
 
-@query("p12_candidate_counts", "select <<i:count(*) filter (kept)>> kept_count, <<i:count(*) filter (not kept)>> filtered_count from (select (" + ALLOWED.replace("{d}", "s.domain") + ") and confidence_score >= 0.3 kept from candidate_v s)")
+COUNTED = "select <<i:count(*) filter (kept)>> kept_count, <<i:count(*) filter (not kept)>> filtered_count from (select (" + ALLOWED.replace("{d}", "s.domain") + ") and confidence_score >= 0.3 kept from candidate_v s)"
+
+
+@query("p12_candidate_counts", COUNTED)
 def _(v):
     return f.validate_candidates(v("candidate_v"), v("allow_v"))[1]
 
 
+@query("p12_store_candidates", COUNTED)
+def _(v):
+    """Counts of the pass that writes the valid candidates."""
+    counts = f.store_candidates(v("candidate_v"), v("allow_v"), scratch_path(v.spark, "candidates"))
+    return v.spark.createDataFrame([(counts["kept_count"], counts["filtered_count"])], "kept_count bigint, filtered_count bigint")
+
+
 @query("p13_allowed_content_type", "select page_id from snapshot_v where trim(split_part(lower(content_type), ';', 1)) in ('text/html', 'application/pdf')")
 def _(v):
     return f.allowed_content_type(v("snapshot_v")).select("page_id")

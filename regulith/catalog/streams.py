@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from regulith.catalog import fold_sql as q
 from regulith.catalog.base import AS_OF, query
+from regulith.catalog.texts import chunk_rows
 from regulith.functions.text import sha256_hex, strip
 from regulith.operators import parted
 from regulith.plans import chunking
@@ -118,7 +120,10 @@ def _(v):
     return runner.run_update(usage.live_stats(_events(v), "event_type", "value", F.col("value") > 10), ["event_type"], "live")
 
 
-@query("t7_ingest_stream")
+DOC_CHUNKS = chunk_rows(q.paragraphs("(select doc_id, '' url, text from documents)"), 200, 40, 10)
+
+
+@query("t7_ingest_stream", f"select chunk_id, doc_id, pos, token_count, clause_type, 'inserted' change from ({DOC_CHUNKS})")
 def _(v):
     docs = runner.file_stream(v.spark, v.dir, "documents.parquet", v("documents").schema)
     to_chunks = lambda batch: chunking.chunk_document(chunking.with_paragraphs(batch.select("doc_id", "text")), 200, 40, 10)

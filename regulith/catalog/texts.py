@@ -21,11 +21,13 @@ ZH_TEXT = "(select doc_id, url, content text from citation_zh_v)"
 LAYOUT_PARAS = q.paragraphs(ZH_TEXT, "doc_id % 3 <> 0")
 
 
+CHUNK_ID = r"regexp_replace(substr(sha256(concat(doc_id, ':', pos)), 1, 32), '^(.{8})(.{4})(.{4})(.{4})(.{12})$', '\1-\2-\3-\4-\5')"
+
+
 def chunk_rows(paras: str, max_tokens: int, overlap: int, min_clause: int) -> str:
     """Chunks with id, place and type, as of ``chunk_document``."""
-    chunk_id = r"regexp_replace(substr(sha256(concat(doc_id, ':', pos)), 1, 32), '^(.{8})(.{4})(.{4})(.{4})(.{12})$', '\1-\2-\3-\4-\5')"
     return f"""with paras as (select * from {paras}), {q.chunks('paras', max_tokens, overlap, min_clause)}
- select doc_id, pos, {chunk_id} chunk_id, content, start_char, start_char + length(content) end_char, <<i:token_count>> token_count, {CLAUSE} clause_type from chunk"""
+ select doc_id, pos, {CHUNK_ID} chunk_id, content, start_char, start_char + length(content) end_char, <<i:token_count>> token_count, {CLAUSE} clause_type from chunk"""
 
 
 CLAUSE = "case " + " ".join(f"when regexp_matches(content, '{p}') then '{n}'" for n, p in vocab.CLAUSE_TYPES) + " else 'general' end"

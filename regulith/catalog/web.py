@@ -40,13 +40,13 @@ def _(v):
 
 
 def _hits(v):
-    k = v("citation_zh_v").filter("doc_id % 4 <> 0")
+    k = v("citation_zh_v")
     own = k.select(F.col("doc_id").alias("candidate_id"), F.col("url").alias("link"), F.col("title").alias("hit_title"), F.col("content").alias("snippet"))
     same = v("candidate_v").select("candidate_id", F.concat("url", F.lit("&page=2")).alias("link"), F.col("title").alias("hit_title"), F.lit("市场").alias("snippet"))
     return own.unionByName(same)
 
 
-@query("x26_verify_candidates", f"""with hit as (select doc_id candidate_id, url link, title hit_title, content snippet from citation_zh_v where doc_id % 4 <> 0 union all select candidate_id, url || '&page=2', title, '市场' from candidate_v),
+VERIFIED = f"""with hit as (select doc_id candidate_id, url link, title hit_title, content snippet from citation_zh_v union all select candidate_id, url || '&page=2', title, '市场' from candidate_v),
  listed as (select * from (select *, lower(regexp_extract(link, '^(?:https?://)?([^/?:#]*)', 1)) hd from hit) s where {ALLOWED.replace('{d}', 's.hd')}),
  words as (select c.candidate_id, c.url, c.domain, link, hd, snippet, list_distinct(list_filter(regexp_split_to_array(lower(c.title), '\\s+'), lambda w: length(w) > 0)) x, list_distinct(list_filter(regexp_split_to_array(lower(hit_title), '\\s+'), lambda w: length(w) > 0)) y
   from candidate_v c join listed using (candidate_id)),
@@ -54,13 +54,16 @@ def _hits(v):
   + coalesce(len(list_intersect(x, y))::double / nullif(len(list_distinct(list_concat(x, y))), 0), 0) * 0.3 + least({hits_sql('lower(snippet)', scoring.ENERGY_TERMS)} * 0.02::double, 0.2), 1.0), 9) score from words),
  best as (select * from scored where score >= 0.3 qualify row_number() over (partition by candidate_id order by score desc, link) = 1)
  select c.candidate_id, b.link canonical_url, case when b.link is null then 'not_found' else 'verified' end status, <<r:coalesce(score, 0)>> verification_score,
- <<r:case when b.link is null then 0 else confidence_score * 0.3 + score * 0.7 end>> combined from candidate_v c left join best b using (candidate_id)""")
+ <<r:case when b.link is null then 0 else confidence_score * 0.3 + score * 0.7 end>> combined from candidate_v c left join best b using (candidate_id)"""
+
+
+@query("x26_verify_candidates", VERIFIED)
 def _(v):
     c = v("candidate_v").withColumn("confidence_score", F.col("confidence_score").cast("double"))
     return web.verify_candidates(c, _hits(v), v("allow_v"))[0].select("candidate_id", "canonical_url", "status", "verification_score", "combined")
 
 
-@query("x26_verification_jobs")
+@query("x26_verification_jobs", f"select candidate_id, canonical_url url, lower(regexp_extract(canonical_url, '^(?:https?://)?([^/?:#]*)', 1)) source_domain, 'verification' job_type, 'pending' job_status from ({VERIFIED}) where status = 'verified'")
 def _(v):
     return web.verify_candidates(v("candidate_v").withColumn("confidence_score", F.col("confidence_score").cast("double")), _hits(v), v("allow_v"))[1]
 

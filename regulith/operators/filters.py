@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from regulith.functions.dates import cadence_hours
@@ -128,6 +128,14 @@ def validate_candidates(df: DataFrame, allow: DataFrame, min_conf: float = 0.3)
     return flagged.filter("kept").drop("kept"), counts
 
 
+def store_candidates(df: DataFrame, allow: DataFrame, path: str, min_conf: float = 0.3) -> dict[str, int]:
+    """Write the valid candidates and count the dropped ones on the same pass: kept_count and filtered_count."""
+    seen = Observation("candidates")
+    kept, dropped = F.count_if("kept").alias("kept_count"), F.count_if(~F.col("kept")).alias("filtered_count")
+    candidate_flags(df, allow, min_conf).observe(seen, kept, dropped).filter("kept").drop("kept").write.mode("overwrite").parquet(path)
+    return seen.get
+
+
 def allowed_content_type(df: DataFrame, types: list[str] = vocab.CONTENT_TYPES) -> DataFrame:
     base = F.trim(F.substring_index(F.lower(F.col("content_type")), ";", 1))
     return df.filter(F.exists(F.array(*[F.lit(t) for t in types]), lambda t: F.contains(base, t)))
