@@ -60,10 +60,14 @@ def _(v):
     return back.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
 
 
-@query("s6_read_binary")
-def _(v):
-    files = io.read_binary(v.spark, v.dir, "*.parquet")
-    return files.select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), "length", F.length("content").alias("bytes_read"))
+@query("s6_read_binary", "select page_id % 16 part, count(*) pages, sum(octet_length(encode(html)) + 1) \"length\", sha256(string_agg(html || chr(10), '' order by page_id)) digest from pages group by 1")
+def _(v):
+    """Pages stored as raw files by prefix, listed and read back whole."""
+    path = scratch_path(v.spark, "raw")
+    pages = v("pages").select((F.col("page_id") % 16).cast("int").alias("part"), "page_id", "html")
+    pages.repartition(16, "part").sortWithinPartitions("part", "page_id").select("part", "html").write.partitionBy("part").text(path)
+    files = io.read_binary(v.spark, path, "*.txt").select(F.regexp_extract("path", "part=([0-9]+)/", 1).cast("int").alias("part"), "length", F.sha2("content", 256).alias("digest"))
+    return files.join(pages.groupBy("part").agg(F.count("*").alias("pages")), "part")
 
 
 SIGNALS = f.SignalFilter(provinces=["ASIA", "EUROPE"], min_impact_score=0.25)

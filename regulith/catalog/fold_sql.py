@@ -142,3 +142,24 @@ def dates(source: str) -> str:
 def language(c: str) -> str:
     ratio = RATIO.replace("content", c)
     return f"case when {ratio} is null then null when {ratio} >= 0.3 then 'zh-CN' when {ratio} >= 0.1 then 'zh-mixed' else 'other' end"
+
+
+def text_chunks(table: str, max_tokens: int, overlap: int) -> str:
+    """CTE ``piece``: doc_id, pos, text, tokens, before (lengths of the earlier chunks) of the paragraph variant."""
+    cjk = lambda c: f"len(regexp_extract_all({c}, '[\\x{{4e00}}-\\x{{9fff}}]'))"
+    tokens = lambda c: f"cast(floor({cjk(c)} * 1.5e0 + (length({c}) - {cjk(c)}) * 0.5e0) as bigint)"
+    none = "[]::struct(text varchar, tokens bigint)[]"
+    state = lambda c, t, glue, done, cur, tok: f"{{'c': {c}, 't': {t}, 'glue': {glue}, 'done': {done}, 'cur': {cur}, 'tok': {tok}}}"
+    unit = lambda c, glue: state(c, tokens(c), glue, none, "''", "0::bigint")
+    paras = f"list_filter([{strip_sql('p')} for p in string_split(text, {NL} || {NL})], lambda p: length(p) > 0)"
+    sentences = f"list_filter([{strip_sql('x')} for x in string_split_regex(p, '[。！？；]')], lambda x: length(x) > 0)"
+    units = f"flatten([case when {tokens('p')} > {max_tokens} then [{unit('y', chr(39) * 2)} for y in {sentences}] else [{unit('p', f'{NL} || {NL}')}] end for p in {paras}])"
+    again = f"right(s.cur, {overlap}) || x.glue || x.c"
+    step = f"""case when s.tok + x.t > {max_tokens} and length(s.cur) > 0
+   then {state("''", '0::bigint', "''", "list_concat(s.done, [{'text': s.cur, 'tokens': s.tok}])", again, tokens(f'({again})'))}
+   else {state("''", '0::bigint', "''", 's.done', "case when length(s.cur) > 0 then s.cur || x.glue || x.c else x.c end", 's.tok + x.t')} end"""
+    start = state("''", "0::bigint", "''", none, "''", "0::bigint")
+    return f"""t1 as (select doc_id, list_reduce(list_concat([{start}], {units}), lambda s, x: {step}) s from {table}),
+ t2 as (select doc_id, case when length({strip_sql('s.cur')}) > 0 then list_concat(s.done, [{{'text': s.cur, 'tokens': s.tok}}]) else s.done end ks from t1),
+ piece as (select doc_id, pos, k.text as "text", k.tokens tokens, coalesce(sum(length({strip_sql('k.text')})) over (partition by doc_id order by pos rows between unbounded preceding and 1 preceding), 0) before
+  from (select doc_id, unnest(ks) k, unnest(range(0, len(ks))) pos from t2))"""

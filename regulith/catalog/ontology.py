@@ -116,7 +116,12 @@ def _(v):
     return o.enrich_citations(_chunks(v), thresholds=LOW).select("citation_id", "content", "asset", "overall_confidence")
 
 
-@query("x17_map_chunks")
+CHUNKED = r"""chunk_src as (select citation_id || '-' || (i + 1) citation_id, doc_id, province, s content from (select citation_id, doc_id, province, i, regexp_replace(s0, '^\s+|\s+$', '', 'g') s from (select citation_id, doc_id, province, unnest(string_split(content, chr(10) || chr(10))) s0,
+ unnest(range(0, len(string_split(content, chr(10) || chr(10))))) i from citation_zh_v)) where length(s) > 0)"""
+
+
+@query("x17_map_chunks", f"""with {CHUNKED}, {map_sql(JURISDICTION).replace('from citation_zh_v)', 'from chunk_src)')} select c.citation_id chunk_id, count(m.path) n_mappings, min(m.path) filter (m."rank" = 1) best_path, <<r:min(m.overall) filter (m."rank" = 1)>> best_confidence
+ from chunk_src c left join (select *, concat_ws(' → ', jurisdiction, market_code, asset_type, lifecycle, requirement_type, parameter_type) path from mapped) m using (citation_id) group by 1""")
 def _(v):
     return o.map_chunks(_chunks(v), thresholds=LOW).select("chunk_id", "n_mappings", "best_path", "best_confidence")
 

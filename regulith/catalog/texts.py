@@ -59,7 +59,8 @@ def _(v):
     return c.chunk_document(c.with_paragraphs(v("citation_zh_v").withColumn("text", F.col("content"))), max_tokens=100, overlap=20, min_clause=10)
 
 
-@query("x4b_chunk_text")
+@query("x4b_chunk_text", f"""with {q.text_chunks('documents', 200, 100)} select doc_id, pos, 'chunk_' || lpad(cast(pos + 1 as varchar), cast(greatest(3, length(cast(pos + 1 as varchar))) as int), '0') chunk_id, {strip_sql('text')} content, tokens token_count,
+ <<i:before>> start_pos, <<i:before + length(text)>> end_pos from piece""")
 def _(v):
     return c.chunk_text(v.dealt("documents"), 200)
 

@@ -60,6 +60,9 @@ VIEWS: dict[str, str] = {
  """ + SCOPE.replace("{key}", "b.item_id") + """, e.embedding from (select item_id, case item_id % 6 """
     + " ".join(f"when {i} then {h}" for i, h in enumerate(HEADS[:5])) + f" else {HEADS[5]} end h from {{benchmark}}) b"
     + """ join {embeddings} e on e.vec_id = b.item_id""",
+    "pack_fresh_v": """select concat('p', cast(question_id as varchar(20))) pack_id, timestamp '2024-01-30 00:00:00' - cast(question_id % 37 as int) * interval '1' hour created_at, province, doc_class, asset,
+ substr(<<sha:concat_ws(':', province, doc_class, coalesce(asset, 'none'), lower(trim(question)))>>, 1, 16) query_fingerprint, case when question_id % 7 = 0 then 'expired' else 'generated' end pack_status,
+ concat('stored answer ', cast(question_id as varchar(20))) answer_zh, <<array:concat('c', cast(conv_id as varchar(20))), concat('c', cast(conv_id + 1 as varchar(20)))>> citation_ids from {question_v} where conv_id % 3 = 0""",
     "result_v": """select q.question_id, q.lang, q.j + 1 "rank", 1 - q.j / 20.0 score, c.citation_id, c.doc_id, c.title, c.url, c.effective_date, c.content, c.province, c.doc_class, c.asset,
  case when c.doc_id % 17 = 0 then null else c.checksum end checksum, case when c.doc_id % 19 = 0 then 'c1' end superseded_by
  from (select *, <<explode:12>> j from {question_v}) q join {citation_zh_v} c on c.doc_id = q.conv_id * 3 + q.j""",
