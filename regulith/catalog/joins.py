@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from regulith.catalog.base import query
 from regulith.catalog.filters import ALLOWED
+from regulith.operators.dictionary import contained_terms, near_terms
 from regulith.operators import joins as j
 from regulith.operators.windows import order_by_rank
 from regulith.sources import vocab
@@ -131,3 +132,24 @@ def _(v):
 def _(v):
     labels = {"province": vocab.PROVINCE_LABELS, "asset": vocab.ASSET_LABELS, "doc_class": vocab.DOC_CLASS_LABELS}
     return j.with_labels(v("question_v"), labels).select("question_id", "province_label", "asset_label", "doc_class_label")
+
+
+WORDS_OF = r"(select distinct unnest(regexp_extract_all(lower({c}), '[a-z]+')) {n} from {t})"
+DICTIONARY = "(select term from " + WORDS_OF.format(c="text", n="term", t="conversations") + " where length(term) >= 6)"
+
+
+def _words(df, c, name):
+    return df.select(F.explode(F.regexp_extract_all(F.lower(c), F.lit("[a-z]+"), F.lit(0))).alias(name)).distinct()
+
+
+@query("j4_dictionary", f"select doc_id, term, position(term in text) position from documents, {DICTIONARY} where contains(text, term)")
+def _(v):
+    """Texts and a dictionary table of thousands of terms."""
+    return contained_terms(v.dealt("documents"), _words(v("conversations"), "text", "term").filter("length(term) >= 6"), "doc_id", "text")
+
+
+@query("x13_near_terms", f"""select word, term, <<r:1.0 - levenshtein(word, term) / greatest(length(word), length(term))>> similarity from {WORDS_OF.format(c="text", n="word", t="benchmark")}, {DICTIONARY}
+ where 1.0::double - levenshtein(word, term) / greatest(length(word), length(term)) >= 0.8""")
+def _(v):
+    """Words of the items that a dictionary term is near to."""
+    return near_terms(_words(v("benchmark"), "text", "word"), _words(v("conversations"), "text", "term").filter("length(term) >= 6"))
