@@ -21,6 +21,9 @@ DIGITS = 12  # scores are rounded before ranking, so that equal vectors tie on e
 def unit_rows(column: pa.Array) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    lengths = np.diff(column.offsets.to_numpy())
+    if len(lengths) and (lengths != lengths[0]).any():
+        raise ValueError("vectors of different lengths")
     m = flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 1)
     norms = np.linalg.norm(m, axis=1, keepdims=True)
     norms[norms == 0] = 1.0

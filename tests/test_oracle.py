@@ -27,7 +27,7 @@ def cell(x):
     if isinstance(x, bool):
         return str(x)
     if isinstance(x, (int, float)):
-        return f"{float(x):.5f}"
+        return f"{float(x):.6f}"
     return str(x)
 
 

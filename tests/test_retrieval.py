@@ -85,3 +85,14 @@ def test_hot_scope_sends_k_rows_per_partition(tables):
     asks, cites, _, _ = tables
     plan = r.vector_topk(asks, cites, 10)._jdf.queryExecution().toString()
     assert "WindowGroupLimit" in plan and "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_vectors_of_different_lengths_are_refused():
+    import pyarrow as pa
+
+    from regulith.plans.vector_kernel import unit_rows
+
+    with pytest.raises(ValueError, match="lengths"):
+        unit_rows(pa.array([[1.0, 2.0, 3.0], [1.0]]))
+    assert unit_rows(pa.array([[3.0, 4.0]])).tolist() == [[0.6, 0.8]]
+    assert unit_rows(pa.array([[9.0, 9.0], [3.0, 4.0]]).slice(1)).tolist() == [[0.6, 0.8]]
