@@ -205,7 +205,7 @@ with b as (select item_id, row_number() over () nr, list_distinct(regexp_extract
  df as (select term, count(*) df from tf group by term),
  part as (select doc_id, term, cast(floor(1000 * ln(cast(2 * docs + 2 as double) / (2 * df + 1))) as bigint) * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // terms))) part from tf join df using (term), st),
  hit as (select nr, item_id, doc_id, cast(sum(part) as bigint) score from q join part using (term) group by all having sum(part) > 0)
-select item_id, row_number() over (partition by nr order by score desc, doc_id) "rank", doc_id, score from hit qualify "rank" <= 50
+select item_id, cast(row_number() over (partition by nr order by score desc, doc_id) as int) "rank", doc_id, score from hit qualify "rank" <= 50
 """
 
 
@@ -221,7 +221,7 @@ with e as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else la
  y as (select anchor, own, vec_id pid, s ps from p where own = label qualify row_number() over (partition by anchor order by s desc, vec_id) <= 5),
  n as (select y.anchor, pid, ps, p.vec_id nid, p.s ns, row_number() over (partition by y.anchor, pid order by p.s desc, p.vec_id) "rank"
   from y join p on p.anchor = y.anchor and p.label <> y.own and 50 * ps <= 100 * s and 100 * s <= 95 * ps)
-select anchor anchor_id, pid positive_id, "rank", nid negative_id, ps positive_score, ns negative_score from n where "rank" <= 3
+select anchor anchor_id, pid positive_id, cast("rank" as int) "rank", nid negative_id, ps positive_score, ns negative_score from n where "rank" <= 3
 """
 
 

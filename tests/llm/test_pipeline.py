@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from regulith.llm import queries
 
-NAMES = ["op1_decontaminate", "op2_toxicity", "op3_quality_rules", "op4_suffix_dedup", "op5_packing", "op6_perplexity", "op7_block_dedup", "op8_minhash", "op9_archive", "op10_line_templates"]
+NAMES = ["op1_decontaminate", "op2_toxicity", "op3_quality_rules", "op4_suffix_dedup", "op5_packing", "op6_perplexity", "op7_block_dedup", "op8_minhash", "op9_archive", "op10_line_templates", "op11_mixing", "op12_lexical_search", "op13_hard_negatives"]
 
 
 @pytest.fixture(scope="module")
@@ -98,7 +98,7 @@ def cell(x):
 def test_against_sql(spark, data_dir, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
-    for t in ("documents", "pages", "labels", "benchmark"):
+    for t in ("documents", "pages", "labels", "benchmark", "embeddings"):
         con.sql(f"create view {t} as select * from '{data_dir}/{t}.parquet'")
     df = queries.QUERIES[name](spark, data_dir)
     found = con.execute(queries.ORACLES[name])
