@@ -63,11 +63,12 @@ def drop_recurring_lines(
     leaf, own = F.xxhash64(count, F.substring_index("_mask", " ", depth)).alias("_leaf"), F.xxhash64("_mask").alias("_own")
     docs_of = F.struct(F.col("_id").isNull(), F.col("_id"))
 
+    # Masking is most of the work, so what it gives is written once: numbers and hashes of the tokens, without the text.
+    lines = materialise(lines.select("_id", "_hash", "_pos", leaf, own, marks(F.col("_mask"), depth).alias("_marks")), "tokens")
     # Leaves of several documents: a leaf of one holds nothing that recurs. Those of several lines have something to compare.
-    leaves = lines.select("_id", leaf, own).groupBy("_leaf").agg(
-        F.min(docs_of).alias("_low"), F.max(docs_of).alias("_high"), (F.min("_own") != F.max("_own")).alias("_several"))
+    leaves = lines.groupBy("_leaf").agg(F.min(docs_of).alias("_low"), F.max(docs_of).alias("_high"), (F.min("_own") != F.max("_own")).alias("_several"))
     leaves = materialise(leaves.where("_low <> _high").select("_leaf", "_several"), "leaves")
-    shared = lines.select("_id", "_hash", "_pos", leaf, own, marks(F.col("_mask"), depth).alias("_marks")).join(leaves, "_leaf")
+    shared = lines.join(leaves, "_leaf")
     shared = materialise(shared.withColumn("_marks", F.when(F.col("_several"), F.col("_marks"))).drop("_several"), "lines")
 
     forms = shared.where("_marks is not null").groupBy("_leaf", "_own", "_id").agg(F.any_value("_marks").alias("_marks"))
