@@ -20,7 +20,7 @@ from regulith.session import col, scratch_path
 
 SCOPE = ("province", "doc_class")
 EVERY = ""  # the term of all citations
-BUCKETS = 64
+BUCKETS = 16
 
 
 def bucket_of(term: Column | str) -> Column:
