@@ -14,8 +14,11 @@ from regulith.session import scratch_path
 
 
 def file_stream(spark: SparkSession, folder: str, pattern: str, schema, max_files: int = 100) -> DataFrame:
-    """New parquet files of a folder as a stream."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).option("pathGlobFilter", pattern).parquet(folder)
+    """New parquet files of a folder as a stream. What the pattern names may be a file or, as Spark writes tables, a folder of files.
+
+    The braces make the path a glob: Spark takes a plain path for a base folder, which a single file is not.
+    """
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(f"{folder}/{{{pattern}}}")
 
 
 def run_append(stream: DataFrame, label: str, path: str | None = None) -> DataFrame:
