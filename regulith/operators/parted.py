@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from regulith.operators.maintenance import delete_where, upsert
 from regulith.operators.windows import latest_per_key
-from regulith.session import col, drop_path, path_exists
+from regulith.session import col, drop_path, move_path, path_exists
 
 PART = "part"
 
@@ -47,14 +47,25 @@ def merge_into(target: str, updates: DataFrame, keys: list[str], cols: list[str]
 
     Rows of an owner lie in one partition, as ``owner`` is one of keys and cols. With ``owners``, a table of that column, the
     rows of these owners that ``updates`` no longer has are removed. ``change`` says what the last batch that touched the
-    row's partition did to it; if that batch is repeated it stays as it was.
+    row's partition did to it; if that batch is repeated it stays as it was. Partitions that the table does not have yet are
+    written once and moved into it, if no key is repeated.
     """
     spark = updates.sparkSession
-    new = updates.select(*keys, *cols).withColumn(PART, part_of(owner, parts))
-    named = new.select(PART) if owners is None else new.select(PART).union(owners.select(part_of(owner, parts).alias(PART)))
-    touched = _numbers(named)
+    made = f"{target}-made"
+    fresh = updates.select(*keys, *cols).withColumns({"change": F.lit("inserted"), "updated_at": F.lit(as_of), "batch": F.lit(batch).cast("bigint"), PART: part_of(owner, parts)})
+    fresh.write.mode("overwrite").partitionBy(PART).parquet(made)  # updates are made once, and lie as the table will
+    stored = spark.read.schema(fresh.schema).parquet(made)
+    new = stored.select(*keys, *cols, PART)
+    filled = _numbers(stored)
+    touched = filled if owners is None else sorted({*filled, *_numbers(owners.select(part_of(owner, parts).alias(PART)))})
     if not touched:
         return
+    repeated_keys = stored.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1")
+    if not any(path_exists(spark, f"{target}/{PART}={n}") for n in touched) and repeated_keys.isEmpty():
+        for n in filled:  # nothing to merge with: no row is shuffled or written again
+            move_path(spark, f"{made}/{PART}={n}", f"{target}/{PART}={n}")
+        drop_path(spark, made)
+        return
     if path_exists(spark, target):
         current = spark.read.parquet(target).filter(F.col(PART).isin(touched))
     else:
@@ -69,6 +80,7 @@ def merge_into(target: str, updates: DataFrame, keys: list[str], cols: list[str]
     merged = merged.withColumn("batch", F.when(F.col("change") == "kept", F.col("_batch")).otherwise(F.lit(batch).cast("bigint")))
     merged = merged.withColumn("change", F.when(repeated, F.col("_change")).otherwise(F.col("change")))
     _replace(spark, merged.select(*keys, *cols, "change", "updated_at", "batch", part_of(owner, parts).alias(PART)), target, touched)
+    drop_path(spark, made)
 
 
 def delete_from(target: str, owners: DataFrame, owner: str, spark: SparkSession, parts: int = 16, **criteria) -> None:

@@ -62,9 +62,7 @@ def ingest_stream(stream: DataFrame, transform: Callable[[DataFrame], DataFrame]
     spark = stream.sparkSession
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        made = f"{target}-made"
-        transform(batch).select(*keys, *cols).write.mode("overwrite").parquet(made)
-        parted.merge_into(target, spark.read.parquet(made), keys, cols, owner, as_of, order, parts, batch.select(owner), batch_id)
+        parted.merge_into(target, transform(batch).select(*keys, *cols), keys, cols, owner, as_of, order, parts, batch.select(owner), batch_id)
 
     query = stream.writeStream.option("checkpointLocation", f"{target}-checkpoint").trigger(availableNow=True).foreachBatch(merge).start()
     query.awaitTermination()

@@ -118,3 +118,18 @@ def test_a_repeated_batch_of_keys_is_stored_once(spark, tmp_path):
     for _ in range(2):
         parted.append_unseen(target, rows, "text", [F.col("doc_id")], "r", 0)
     assert spark.read.parquet(target).count() == 2
+
+
+def test_first_rows_are_written_once(spark, tmp_path, monkeypatch):
+    """Partitions the table does not have are moved into it; with repeated keys, or rows there, the merge runs."""
+    ran = []
+    plain = parted._replace
+    monkeypatch.setattr(parted, "_replace", lambda *a: ran.append(a) or plain(*a))
+    target = str(tmp_path / "t")
+    merge(target, table(spark, [(f"c{k}", k, f"text {k}") for k in range(100)]))
+    assert not ran and len(state(spark, target)) == 100 and set(state(spark, target).values()) == {(f"text {k}", "inserted", AS_OF) for k in range(100)}
+    merge(target, table(spark, [("c7", 7, "new")]), as_of=LATER, batch=1)
+    assert len(ran) == 1 and state(spark, target)["c7"] == ("new", "updated", LATER)
+    merge(str(tmp_path / "u"), table(spark, [("c7", 7, "a"), ("c7", 7, "b")]))
+    assert len(ran) == 2 and state(spark, str(tmp_path / "u")) == {"c7": ("b", "inserted", AS_OF)}
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["t", "u"]
