@@ -157,10 +157,10 @@ def has_chinese(df: DataFrame, text_col: str = "content", min_ratio: float | Non
 
 
 def enrich_results(df: DataFrame) -> DataFrame:
-    """Search hits with the passage cut out and the descriptive columns nested."""
+    """Search hits with the passage cut out, unless they have it, and the descriptive columns nested."""
     meta = F.struct("title", "url", F.date_format("effective_date", "yyyy-MM-dd").alias("effective_date"),
                     "checksum", "province", "doc_class", "asset")
-    return df.select("question_id", "citation_id", passage("content").alias("passage"), "score",
+    return df.select("question_id", "citation_id", F.col("passage") if "passage" in df.columns else passage("content").alias("passage"), "score",
                      F.col("vscore").alias("vector_score"), F.col("tscore").alias("text_score"), "rank", meta.alias("metadata"))
 
 

@@ -14,7 +14,7 @@ from regulith.operators.joins import map_value
 from regulith.operators.maintenance import cached_packs
 from regulith.operators.windows import first_match
 from regulith.plans.policy import filter_by_policy
-from regulith.plans.retrieval import hybrid_search
+from regulith.plans.retrieval import hybrid_passages
 from regulith.session import materialise
 from regulith.sources import vocab
 
@@ -79,7 +79,7 @@ def answer_batch(questions: DataFrame, citations: DataFrame, packs: DataFrame, a
     keyed = questions.withColumn("query_fingerprint", fingerprint("province", "asset", "doc_class", "question", "short"))
     cached = cached_packs(keyed.select("question_id", "query_fingerprint"), packs, as_of, cache_hours).filter("pack_id is not null")
     open_questions = keyed.join(cached.select("question_id"), "question_id", "left_anti")
-    wide = hybrid_search(open_questions, citations)
+    wide = hybrid_passages(open_questions, citations)
     kept, _ = filter_by_policy(wide, open_questions, allow, placeholders)
     answers = compose_answers(fill_metadata(enrich_results(kept)), open_questions, max_citations)
     # Three outputs share the answers: they are written once.
