@@ -25,6 +25,7 @@ from regulith.llm.kernel import U64, long_column, text_buffer
 
 BATCH_BYTES = 4 << 20
 ARROW_BYTES = 8 << 20
+PIECE_BYTES = 1 << 20  # text that is judged at once where rows stay in place; its arrays take some forty times as much
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -125,15 +126,23 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def keep_rows(docs: DataFrame, text_col: str, decide: Callable[[Batch], np.ndarray]) -> DataFrame:
-    """The rows, all columns as they are, whose text ``decide`` accepts; no row moves."""
+    """The rows, all columns as they are, whose text ``decide`` accepts; no row moves.
+
+    Texts are judged in pieces of at most PIECE_BYTES, or one by one if longer.
+    """
     bounded_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
 
     def run(parts):
         for part in parts:
-            data, starts, ends = text_buffer(part.column(at))
-            n = part.num_rows
-            yield part.filter(pa.array(decide(Batch(np.arange(n), np.zeros(n, bool), data, starts, ends)), pa.bool_()))
+            _, starts, ends = text_buffer(part.column(at))
+            low = 0
+            while low < part.num_rows:
+                high = max(low + 1, int(np.searchsorted(ends, starts[low] + PIECE_BYTES, side="right")))
+                piece = part.slice(low, high - low)
+                n = piece.num_rows
+                yield piece.filter(pa.array(decide(Batch(np.arange(n), np.zeros(n, bool), *text_buffer(piece.column(at)))), pa.bool_()))
+                low = high
 
     return docs.mapInArrow(run, docs.schema)
 

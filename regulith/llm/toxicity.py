@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from regulith.llm.kernel import BASE, U64, mix, word_bounds, word_ids
-from regulith.llm.packed import Batch, batches, bounded_batches, keep_rows
+from regulith.llm.packed import PIECE_BYTES, Batch, batches, bounded_batches, expand, keep_rows, squeeze, steps
 
 TABLE_BITS = 20
 HALF = 1 << (TABLE_BITS - 1)  # single words are in the lower half of the table, pairs in the upper
@@ -83,7 +83,11 @@ class Ftrl:
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int, epochs: int, id_col: str, text_col: str, label_col: str) -> tuple[np.ndarray, np.ndarray, float]:
-    """Places and values of the weights that are not zero, and the bias."""
+    """Places and values of the weights that are not zero, and the bias.
+
+    The training task holds its rows as compressed blocks and opens one at a time.
+    """
+    bounded_batches(docs.sparkSession)
     own = labels.select(F.col(id_col).cast("bigint").alias("_id"), F.col(label_col).cast("int").alias("_label")).where("_id is not null and _label is not null")
     own = own.where(F.pmod(F.crc32(F.col("_id").cast("string")), F.lit(5)) != 0).groupBy("_id").agg(F.max("_label").alias("_label"))
     own = own.withColumn("_order", F.xxhash64("_id")).orderBy("_order", "_id").limit(max_rows)
@@ -93,9 +97,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int, epochs: int, id_col:
     def encode(parts: Iterator[pa.RecordBatch]):
         for part in parts:
             at = 0
-            for batch in batches(iter([part.select([0, 1])])):
+            for batch in batches(iter([part.select([0, 1])]), PIECE_BYTES):
                 places, edges = rows_of(batch)
-                blocks = [places[a:b].astype(np.uint32).tobytes() for a, b in zip(edges[:-1], edges[1:])]
+                blocks = [squeeze(steps(places[a:b].astype(np.uint32))) for a, b in zip(edges[:-1], edges[1:])]
                 yield pa.RecordBatch.from_arrays([pa.array(batch.ids), part.column(2).slice(at, len(batch)), pa.array(blocks, pa.binary())], names=["order", "label", "places"])
                 at += len(batch)
 
@@ -105,7 +109,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int, epochs: int, id_col:
         model = Ftrl()
         for _ in range(epochs):
             for _, label, places in table:
-                model.learn(np.frombuffer(places, np.uint32).astype(np.int64), label)
+                model.learn(np.cumsum(expand(places, "u4")[0], dtype=np.int64), label)
         w = model.weights(model.z, model.n)
         at = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays(
@@ -149,7 +153,7 @@ def score_toxicity(
     scorer = Scorer(*fit(docs, labels, max_rows, epochs, id_col, text_col, label_col))
 
     def run(parts: Iterator[pa.RecordBatch]):
-        for batch in batches(parts):
+        for batch in batches(parts, PIECE_BYTES):
             score = scorer(batch)
             yield pa.RecordBatch.from_arrays([batch.id_array(), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=["id", "score", "predicted"])
 
